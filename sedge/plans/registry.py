@@ -1,0 +1,35 @@
+"""All registered queries of the engine itself, by family."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sedge.plans.tables import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FLAGSHIP = """
+SELECT n.n_name, COUNT(*) AS n_lines, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM customer c
+JOIN orders o ON o.o_custkey = c.c_custkey
+JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE o.o_orderstatus = 'F' AND l.l_quantity BETWEEN 10 AND 40
+GROUP BY n.n_name HAVING COUNT(*) > 5
+ORDER BY SUM(l.l_extendedprice * (1 - l.l_discount)) DESC, n.n_name LIMIT 10
+"""
+
+
+def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    return spark.sql(FLAGSHIP)
+
+
+def queries() -> dict[str, Query]:
+    return {"flagship_revenue_by_nation": _flagship}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"flagship_revenue_by_nation": FLAGSHIP}

@@ -12,12 +12,14 @@ the partition's number, so a task that is run again gives the same rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +35,44 @@ _ids: dict[str, "ChunkIds"] = {}
 class ChunkIds(dict):
     """Ids of texts by a tokenizer that never joins what white space parts: each chunk is encoded once and remembered.
 
-    The memory is bounded: beyond `most` chunks it starts anew."""
+    With `parts`, the tokenizer's own pattern, a chunk of Latin letters is put together from its lower-cased parts, of
+    which there are fewer; other chunks, and those with a special token's marks, are encoded whole. The memories are
+    bounded: beyond `most` entries they start anew."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    #: Latin code points that lower-case alone and are composed already.
+    plain = regex.compile("[\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f]+")
+
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        spec = json.loads(self.tokenizer.to_str())
+        split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
+        lower = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.parts = regex.compile(split[0]["pattern"]["Regex"]) if lower and len(split) == 1 else None
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        self[chunk] = found = np.asarray(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.decode()
+        if self.parts and self.plain.fullmatch(text):
+            own, known = self.parts.findall(text.lower()), self.known
+            for x in own:
+                if x not in known:
+                    known[x] = self._whole(x)
+            found = b"".join([known[x] for x in own])
+        else:
+            found = self._whole(text)
+        self[chunk] = found
         return found
 
     def encode(self, text: str | None, end: int | None) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
+        if len(self.known) > self.most:
+            self.known.clear()
         found = b"".join(map(self.__getitem__, (text or "").encode().split()))
         return np.frombuffer(found + np.uint32(end).tobytes() if end is not None else found, "<u4")
 
@@ -67,7 +92,8 @@ class Packer:
     def __init__(self, max_tokens: int = 2048, max_segments: int = 1024, max_loss: int = 2048, window: int = 512):
         if min(max_tokens, max_segments, max_loss, window) < 1:
             raise ValueError("limits must be positive")
-        self.limit = np.array([max_tokens, max_segments, max_loss], float)
+        self.most = max_tokens, max_segments, max_loss
+        self.limit = np.array(self.most, float)
         self.window = window
         self.demand = np.zeros((2 * window, 3))
         self.waiting: list[tuple[object, int, int, int]] = []  # example, start, length, first loss-bearing token
@@ -82,7 +108,7 @@ class Packer:
         return min(length, tokens, free + loss)
 
     def feed(self, example, length: int, first: int = 0) -> Iterator[list]:
-        start, (tokens, _, loss) = 0, self.limit.astype(int)
+        start, (tokens, _, loss) = 0, self.most
         while length - start >= tokens:  # whole sequences of one example
             n = self._piece(start, length - start, first, tokens, loss)
             if n < tokens:
@@ -127,7 +153,7 @@ class Packer:
 
     def _closed(self, bin_: list) -> Iterator[list]:
         """The bin itself if it is full, else cut into lengths that are powers of two."""
-        total, most = sum(x[2] for x in bin_), int(self.limit[0])
+        total, most = sum(x[2] for x in bin_), self.most[0]
         if total == most:
             yield bin_
             return

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import fingerprint, langid, linededup, packing
+from sedge.llm import fingerprint, langid, linededup, packing, pii
 from sedge.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.disclosures(docs))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op6_language_id": op6_language_id,
+        "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
     }

@@ -40,6 +40,9 @@ def collisions(members: DataFrame) -> DataFrame:
     Least and greatest bytes are pre-aggregated on the map side, so a bucket of a third of all rows is no burden; only
     buckets in which they differ, by chance none, are looked at further."""
     bound = members.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("h1", "h2")
+    bound = cut(bound, "fingerprint-bound")
+    if bound.isEmpty():
+        return members.select("h1", "h2", "canon", F.lit(0).cast("bigint").alias("rank")).where("false")
     split = members.join(bound, ["h1", "h2"], "left_semi").distinct()
     smaller = split.select("h1", "h2", F.col("canon").alias("other"))
     ranks = split.join(smaller, ["h1", "h2"]).where("other < canon").groupBy("h1", "h2", "canon").agg(F.count("*").alias("rank"))

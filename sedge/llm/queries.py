@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import fingerprint, jaccard, langid, linededup, packing, pii, warc
+from sedge.llm import fingerprint, jaccard, langid, linededup, neardup, packing, pii, warc
 from sedge.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op1_fingerprints": op1_fingerprints,
         "op2_warc": op2_warc,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_embedding_neardup": op5_embedding_neardup,
         "op6_language_id": op6_language_id,
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,

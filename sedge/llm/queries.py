@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import fingerprint, jaccard, langid, linededup, neardup, packing, pii, warc
+from sedge.llm import fingerprint, jaccard, langid, linededup, lm, neardup, packing, pii, warc
 from sedge.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_warc": op2_warc,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_embedding_neardup": op5_embedding_neardup,
         "op6_language_id": op6_language_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import fingerprint, jaccard, langid, linededup, lm, neardup, packing, pii, warc
+from sedge.llm import fingerprint, jaccard, langid, linededup, lm, neardup, packing, pieces, pii, warc
 from sedge.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return pii.detect(docs, pii.disclosures(docs))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_embedding_neardup": op5_embedding_neardup,
         "op6_language_id": op6_language_id,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,

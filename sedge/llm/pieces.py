@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,53 +58,49 @@ class Pieces:
             raise ValueError("the model has no byte fallback")
         self.limit, self.seed, self.most = int(dropout * 2**64), seed, most
         self.variants = variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known, self.older = ([{} for _ in range(self.variants)] for _ in range(2))  # ids by chunk
 
     def merge(self, chunk: str, variant: int) -> list[str]:
         """Symbols of a chunk after all merges that aren't skipped."""
         symbols: list[str | None] = list(chunk)
-        n = len(symbols)
+        n, score, limit = len(symbols), self.score, self.limit
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list = []
-        score, limit = self.score, self.limit
-        key = xxhash.xxh64_intdigest(chunk.encode(), self.seed * 1_000_003 + variant & 0xFFFFFFFFFFFFFFFF) if limit else 0
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (s := score.get(piece := symbols[i] + symbols[after[i]])) is not None:
-                heapq.heappush(agenda, (-s, i, piece))
-
-        for i in range(n - 1):
-            offer(i)
+        key = xxhash.xxh64_intdigest(chunk, self.seed * 1_000_003 + variant & 0xFFFFFFFFFFFFFFFF) if limit else 0
+        agenda = [(-s, i, piece) for i, piece in enumerate(map(str.__add__, chunk, chunk[1:])) if (s := score.get(piece)) is not None]
+        heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, piece = heapq.heappop(agenda)
-            if symbols[i] is None or (j := after[i]) >= n or symbols[i] + symbols[j] != piece:
+            _, i, piece = pop(agenda)
+            left = symbols[i]
+            if left is None or (j := after[i]) >= n or left + symbols[j] != piece:
                 continue  # what it would join is gone
-            if limit and xxhash.xxh64_intdigest(f"{i} {piece}".encode(), key) < limit:
+            if limit and xxhash.xxh64_intdigest(f"{i} {piece}", key) < limit:
                 continue  # skipped
             symbols[i], symbols[j] = piece, None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (s := score.get(longer := piece + symbols[k])) is not None:
+                    push(agenda, (-s, i, longer))
+            if (h := before[i]) >= 0 and (s := score.get(longer := symbols[h] + piece)) is not None:
+                push(agenda, (-s, h, longer))
         return [x for x in symbols if x is not None]
 
     def chunk_ids(self, chunk: str, variant: int) -> bytes:
-        out: list[int] = []
+        out = array("I")
         for x in [chunk] if chunk == MARK else self.merge(chunk, variant):
             i = self.ids.get(x)
             if i is None:
-                out += (self.byte_id[b] for b in x.encode())
+                out.extend(self.byte_id[b] for b in x.encode())
             else:
                 out.append(i)
-        return np.array(out, "<u4").tobytes()
+        return out.tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if sum(map(len, self.known)) > self.most * self.variants:
-            for known in self.known:
-                known.clear()
+        if sum(map(len, self.known)) > self.most * self.variants:  # the last generation is still looked into once
+            self.older, self.known = self.known, [{} for _ in self.known]
         chunks, out, known = _CHUNK.findall(" " + text), [], self.known
         if self.variants > 1:
             place = np.arange(len(chunks), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
@@ -114,7 +111,7 @@ class Pieces:
         for chunk, v in zip(chunks, chosen, strict=True):
             own = known[v].get(chunk)
             if own is None:
-                own = known[v][chunk] = self.chunk_ids(chunk, v)
+                own = known[v][chunk] = self.older[v].get(chunk) or self.chunk_ids(chunk, v)
             out.append(own)
         return np.frombuffer(b"".join(out), "<u4")
 

@@ -4,7 +4,7 @@ P(word | history) = P(class | history) * P(slot | class, history) * P(word | res
 (the most frequent endings have one each, the others share one, the end of a text has its own). A class has slots for its
 most frequent words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word
 included, so the model is a distribution. Both softmaxes are log-linear in hashed features of the history: the last word,
-skips to the second and third last, and the last two together; rare words of the history count by their ending. They
+the skip to the one before it, and the two together; rare words of the history count by their ending. They
 start from the counts, so that features only learn what the history adds.
 
 Training: the training documents are dealt into rounds. In each, every task starts from the shared parameters, makes
@@ -16,6 +16,7 @@ others are joined by word.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from sedge.llm.common import batch, cut, fold, rows_of, words
 
 END = b"\n"  # no word holds white space
-CLASSES, SLOTS, ROWS = 32, 16, 1 << 15
+CLASSES, SLOTS, ROWS = 24, 12, 1 << 15
 HEAD, CONTEXT = 65_536, 8_192
 BLOCK = 2048
 F32 = np.float32
@@ -49,6 +50,7 @@ class Lexicon:
     tokens: int
     types: int
     context: frozenset = field(default_factory=frozenset)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def class_of(self, word: bytes) -> int:
         return 0 if word == END else self.endings.get(word[-2:], 1)
@@ -63,6 +65,7 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.words: list[bytes] = []
         self.symbol, self.cls, self.slot, self.count = (np.zeros(1 << 16, t) for t in (np.uint32, np.uint8, np.uint8, np.int64))
 
     def __missing__(self, word: bytes) -> int:
@@ -73,6 +76,7 @@ class Words(dict):
         self.cls[i], self.slot[i], self.count[i] = c, x.slots.get(word, SLOTS - 1), x.head.get(word, -1)
         self.symbol[i] = zlib.crc32(word) if word in x.context else zlib.crc32(word[-2:], 0x5ED6E)
         self[word] = i
+        self.words.append(word)
         return i
 
     def of(self, text: str | None) -> np.ndarray:
@@ -81,6 +85,17 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
 
 
+_known: dict[str, Words] = {}
+
+
+def words_of(lexicon: Lexicon) -> Words:
+    """One per Python worker and lexicon, which serves its later tasks too."""
+    if lexicon.key not in _known:
+        _known.clear()
+        _known[lexicon.key] = Words(lexicon)
+    return _known[lexicon.key]
+
+
 def _mix(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     a = (a ^ (a >> np.uint32(12))) * np.uint32(0x297A2D39)
@@ -88,30 +103,30 @@ def _mix(a: np.ndarray) -> np.ndarray:
 
 
 def features(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed features of every position's history, 4 by n: last word, skips of one and of two, last two words."""
+    """Hashed features of every position's history, 3 by n: last word, the skip to the one before, the two together."""
     n, past = len(symbol), []
     since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    for k in (1, 2, 3):
+    for k in (1, 2):
         x = np.full(n, k, np.uint32)
         x[k:] = symbol[: n - k] if n > k else symbol[:0]
         x[since < k] = k  # before the text
         past.append(x)
-    f = [_mix(past[k] * np.uint32(2 * k + 3) + np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) for k in range(3)]
+    f = [_mix(past[k] * np.uint32(2 * k + 3) + np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) for k in range(2)]
     f.append(_mix(f[0] ^ (past[1] * np.uint32(0x85EBCA6B))))
     return np.stack(f) % np.uint32(ROWS)
 
 
 def by_class(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Features of the second softmax: the last word and the skips, each with the class."""
-    return _mix(f[:3] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
+    """Features of the second softmax: the last word and the skip, each with the class."""
+    return _mix(f[:2] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z -= z.max(1, keepdims=True)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place; priors are logarithms of probabilities, so nothing overflows below hundreds of nats of evidence."""
+    np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    total = z.sum(1)
-    z /= total[:, None]
-    return z, total
+    z *= (1 / (z @ np.ones(z.shape[1], F32)))[:, None]
+    return z
 
 
 class Model:
@@ -123,8 +138,8 @@ class Model:
         f = features(symbol, starts)
         g = by_class(f, cls)
         a, b = self.tables
-        p, _ = _softmax(a[f[0]] + a[f[1]] + a[f[2]] + a[f[3]] + self.lexicon.class_prior)
-        q, _ = _softmax(b[g[0]] + b[g[1]] + b[g[2]] + self.lexicon.slot_prior[cls])
+        p = _softmax(a[f[0]] + a[f[1]] + a[f[2]] + self.lexicon.class_prior)
+        q = _softmax(b[g[0]] + b[g[1]] + self.lexicon.slot_prior[cls])
         return f, g, p, q
 
     def log10(self, symbol, cls, slot, starts) -> np.ndarray:
@@ -255,10 +270,12 @@ def lexicon(counts: DataFrame) -> Lexicon:
     prior = np.where(slot_mass > 0, np.log(np.maximum(slot_mass, 1e-9)), -60.0)
     prior[0, 1:] = -60.0
     prior[0, 0] = 0.0
-    return Lexicon(head, endings, slots, np.log(mass + rest_total - rest).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
+    prior -= np.log(np.exp(prior).sum(1, keepdims=True))
+    by_class_log = np.log(mass + rest_total - rest)
+    return Lexicon(head, endings, slots, (by_class_log - np.log(np.exp(by_class_log).sum())).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
 
 
-def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
+def train(docs: DataFrame, known: Lexicon, rounds: int = 2) -> Model:
     """docs: doc_id, text of the training documents."""
     spark, model = docs.sparkSession, Model(known)
     shared_words = spark.sparkContext.broadcast(known)
@@ -269,7 +286,7 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
 
         def learn(batches, tables=tables):
             trainer = Trainer(shared_words.value, tuple(t.astype(F32) for t in tables.value))
-            own = Words(shared_words.value)
+            own = words_of(shared_words.value)
             for _, ids, starts in _batches(own, ((None, text) for (text,) in rows_of(batches, "text")), 200_000):
                 symbol, cls, slot = own.symbol[ids], own.cls[ids], own.slot[ids]
                 for a, b, begin in _pieces(len(ids), starts):
@@ -295,7 +312,7 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
     return model
 
 
-def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Trained on the rows whose crc32 of the id as text isn't 0 mod folds; a null id is in training. Null and empty texts
@@ -314,7 +331,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, tables = shared.value
-        model, own = Model(lex, tuple(t.astype(F32) for t in tables)), Words(lex)
+        model, own = Model(lex, tuple(t.astype(F32) for t in tables)), words_of(lex)
         rest_log = np.log10(lex.rest_total)
         context = TaskContext.get()
         rid = (context.partitionId() if context else 0) << 36
@@ -332,11 +349,8 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
             tail = np.flatnonzero(~head)
             if len(tail):
                 pairs, tf = np.unique(np.repeat(np.arange(rows), n)[tail].astype(np.int64) << 32 | ids[tail], return_counts=True)
-                named = {i: w for w, i in own.items()} if len(pairs) > len(own) // 4 else None
+                named = own.words
                 numbers = (pairs & 0xFFFFFFFF).tolist()
-                if named is None:
-                    wanted = set(numbers)
-                    named = {i: w for w, i in own.items() if i in wanted}
                 none = [None] * len(pairs)
                 yield batch(fields, [rid + (pairs >> 32), none, none, none, none, none, none, [named[i] for i in numbers], tf.astype(np.int32)])
             rid += rows

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_caches: dict = {}
 
 #: White space of the contracts: space and U+0009 to U+000D. bytes.split() without arguments cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +37,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_cache(key, make: Callable):
+    """What a Python worker keeps from task to task, of one operator at a time: another key drops it and gives the memory back."""
+    if key not in _caches:
+        _caches.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _caches[key] = make()
+    return _caches[key]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of long texts stay small in the Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n."""
     return F.crc32(doc_id.cast("string")) % n

@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, bits: int = 128, id_col: str = "doc_id", text_
     if odd.isEmpty():
         return hashed.withColumn("fingerprint", _digest("__h1", "__h2", F.lit(0))).drop("__h1", "__h2")
     odd = odd.select(F.col("h1").alias("__a"), F.col("h2").alias("__b"), F.col("canon").alias("__c"), "rank")
-    canon = canonical(text)
-    joined = hashed.join(odd, (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")) & (F.col("__c") == canon), "left")
+    hashed = hashed.withColumn("__canon", canonical(text))
+    joined = hashed.join(odd, (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")) & (F.col("__c") == F.col("__canon")), "left").drop("__canon")
     return joined.withColumn("fingerprint", _digest("__h1", "__h2", F.coalesce("rank", F.lit(0)))).drop("__h1", "__h2", "__a", "__b", "__c", "rank")
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, cut, rows_of, words
+from sedge.llm.common import batch, cut, rows_of, small_batches, worker_cache, words
 from sedge.llm.components import components, lookup
 
 U = np.uint64
@@ -41,14 +41,11 @@ class WordHash(dict):
         return found
 
     def of(self, own: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, own), U, len(own))
 
 
-_words = WordHash()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * _A
     h = (h ^ (h >> U(27))) * _B
@@ -57,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, k: int = 4) -> np.ndarray:
     """Sorted distinct hashes of k-word shingles; of the whole sequence if it is shorter; none without words."""
-    h = _words.of(words(text))
+    h = worker_cache("jaccard", WordHash).of(words(text))
     if not len(h):
         return h
     n = min(k, len(h))
@@ -221,6 +218,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     whose id is null counts, and a component of such rows alone has the id null. Extra columns are ignored; an empty
     table gives no rows. block_elements: shingles of a block that one task searches; larger ones are searched in pieces.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, fold
+from sedge.llm.common import batch, fold, small_batches
 
 SEGMENT, LANES = 1024, 2048
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_letter", pa.float64())])
@@ -184,6 +184,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     `und` with score 0 where the text is null or has no letter. Ties go to the language that comes first by name. Repeated
     rows are predicted each; an empty table gives no rows, and without labelled text all is `und`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     if extra:

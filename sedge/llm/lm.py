@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, cut, fold, rows_of, words
+from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_cache, words
 
 END = b"\n"  # no word holds white space
 CLASSES, SLOTS, ROWS = 24, 12, 1 << 15
@@ -85,15 +85,9 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
 
 
-_known: dict[str, Words] = {}
-
-
 def words_of(lexicon: Lexicon) -> Words:
     """One per Python worker and lexicon, which serves its later tasks too."""
-    if lexicon.key not in _known:
-        _known.clear()
-        _known[lexicon.key] = Words(lexicon)
-    return _known[lexicon.key]
+    return worker_cache(("lm", lexicon.key), lambda: Words(lexicon))
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -318,6 +312,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 2, id_col: str = "doc_
     Trained on the rows whose crc32 of the id as text isn't 0 mod folds; a null id is in training. Null and empty texts
     are an end alone. Repeated rows count and are scored each; ties among words go by their bytes; other columns are
     ignored; an empty table gives no rows; without training rows every token is unknown."""
+    small_batches(docs.sparkSession)
     held = F.coalesce(fold(F.col(id_col), folds) == 0, F.lit(False))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
     learning = source.where("not held_out")

@@ -24,12 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch
+from sedge.llm.common import batch, small_batches, worker_cache
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-_ids: dict[str, "ChunkIds"] = {}
 
 
 class ChunkIds(dict):
@@ -79,9 +78,7 @@ class ChunkIds(dict):
 
 def chunk_ids(path: str) -> ChunkIds:
     """One per Python worker, which serves many tasks."""
-    if path not in _ids:
-        _ids[path] = ChunkIds(path)
-    return _ids[path]
+    return worker_cache(("packing", path), lambda: ChunkIds(path))
 
 
 class Packer:
@@ -208,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if rows:
             yield batch(SCHEMA, list(zip(*rows, strict=True)))
 
+    small_batches(docs.sparkSession)
     first = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), first.alias("first")).mapInArrow(run, DDL)
 

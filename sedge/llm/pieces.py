@@ -24,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch
+from sedge.llm.common import batch, small_batches, worker_cache
 
 MARK = "▁"
 _CHUNK = re.compile(rf" *[^ \n\t{MARK}]+| +|[\n\t{MARK}]")
-_models: dict[tuple, "Pieces"] = {}
 
 
 class Pieces:
@@ -122,10 +121,7 @@ class Pieces:
 
 def pieces(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> Pieces:
     """One per Python worker and setting."""
-    key = path, dropout, seed, variants
-    if key not in _models:
-        _models[key] = Pieces(*key)
-    return _models[key]
+    return worker_cache(("pieces", path, dropout, seed, variants), lambda: Pieces(path, dropout, seed, variants))
 
 
 def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,6 +153,7 @@ def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0,
 
     Each text is encoded and its ids decoded again. Null and empty texts have no ids; repeated rows and rows that share an
     id give a row each; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     fields = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

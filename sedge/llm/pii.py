@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, cut, rows_of
+from sedge.llm.common import batch, cut, rows_of, small_batches, worker_cache
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -119,10 +119,12 @@ def disclosures(docs: DataFrame, alpha: float = 0.8, support: int = 3, reach: in
     """entity, term, full (boolean): the terms that disclose an entity. Empty if nothing does.
 
     `most`: candidate terms up to which their set is sent to the tasks that count them; with more, all terms are counted."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(text_col).alias("text"))
     schema = pa.schema([("e", pa.string()), ("t", pa.string()), ("ctx", pa.binary()), ("doc", pa.int64())])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("pii", dict)
         for got in batches:
             rows = []
             for (text,) in rows_of([got], "text"):
@@ -153,7 +155,7 @@ def disclosures(docs: DataFrame, alpha: float = 0.8, support: int = 3, reach: in
                 own = {m.lower() for m in _TERM.findall(text or "")}
                 counts.update(own if only is None else own & only)
                 counts[""] += 1
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield batch(tallies, list(zip(*counts.items(), strict=True)))
                 counts.clear()
         if counts:

@@ -84,7 +84,9 @@ class Model:
             for s, m in enumerate(moves):
                 to[s, list(m)] = list(m.values())
             first = np.where(to[0] < 0, 0, to[0])
-            tables.append(np.where(to < 0, (base + first * self.width) * 2 + 1, (base + to * self.width) * 2).astype(np.int32).ravel())
+            table = np.where(to < 0, (base + first * self.width) * 2 + 1, (base + to * self.width) * 2)
+            table[0] |= 1  # at the root a phrase begins, and an unknown letter is one and leads back there
+            tables.append(table.astype(np.int32).ravel())
             self.roots.append(base)
             self.cost.append(np.log2(max(2, len(codes))))
             base += len(moves) * self.width
@@ -114,7 +116,7 @@ class Model:
         for j, i in enumerate(order):
             grid[: lengths[j], j] = segments[i]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], n, 1)
-        count = np.ones((k, n), np.int32)
+        count = np.zeros((k, n), np.int32)
         active = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         for row, m in zip(grid, active, strict=True):
             found = self.table[state[:, :m] + row[:m]]

@@ -49,7 +49,7 @@ def worker_cache(key, make: Callable):
     return _caches[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Arrow batches of long texts stay small in the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, fold, small_batches
+from sedge.llm.common import batch, fold, small_batches, worker_cache
 
 SEGMENT, LANES = 1024, 2048
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_letter", pa.float64())])
@@ -127,7 +127,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, score (the runner-up's excess over the best, 0 to 1) and bits a letter."""
+        """Language, score (the runner-up's excess over the best, 0 to 1) and bits a letter beyond the first phrase, which any text has."""
         owner, segments, total = [], [], np.zeros(len(texts), np.int64)
         found = np.zeros((len(texts), len(self.langs)), np.int64)
 
@@ -155,7 +155,8 @@ class Model:
                 continue
             best = int(bits[i].argmin())
             second = np.delete(bits[i], best).min(initial=np.inf)
-            out.append((self.langs[best], 1.0 if np.isinf(second) else float(1 - bits[i][best] / second), float(bits[i][best])))
+            beyond = (found[i][best] - 1) * self.cost[best] / total[i]
+            out.append((self.langs[best], 1.0 if np.isinf(second) else float(1 - bits[i][best] / second), float(beyond)))
         return out
 
 
@@ -197,6 +198,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_letter", DoubleType())])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache("langid", dict)
             for got in batches:
                 said = shared.value.predict(got.column(text_col).to_pylist())
                 columns = [*got.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.float64())]
@@ -205,6 +207,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return base.mapInArrow(added, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid", dict)
         for got in batches:
             said = shared.value.predict(got.column("text").to_pylist())
             yield batch(SCHEMA, [got.column("doc_id"), got.column("held_out"), *([x[i] for x in said] for i in range(3))])

@@ -101,6 +101,8 @@ def traverse(a: CoverTree, b: CoverTree, cosine: float, exact) -> Iterator[tuple
 def join(home: tuple, guest: tuple, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """home, guest: (ids, multiplicities, vectors). Links of each home point with other points, and (id, id) that connect what is linked."""
     (ha, hn, hv), (ga, gn, gv) = home, guest
+    if not len(ha) or not len(ga):
+        return np.zeros(len(ha), np.int64), []
     hl, gl = np.linalg.norm(hv, axis=1), np.linalg.norm(gv, axis=1)
     same = ha is ga
     ta = CoverTree(hv / hl[:, None])

@@ -36,16 +36,17 @@ class ChunkIds(dict):
 
     With `parts`, the tokenizer's own pattern, a chunk of Latin letters is put together from its lower-cased parts, of
     which there are fewer; other chunks, and those with a special token's marks, are encoded whole. The memories are
-    bounded: beyond `most` entries they start anew."""
+    bounded: beyond `most` entries a new generation begins, and the last one is still looked into."""
 
     #: Latin code points that lower-case alone and are composed already.
     plain = regex.compile("[\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f]+")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known, self.known_before, self.before = {}, {}, {}
         spec = json.loads(self.tokenizer.to_str())
         split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
         lower = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
@@ -55,12 +56,16 @@ class ChunkIds(dict):
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        found = self.before.get(chunk)
+        if found is not None:
+            self[chunk] = found
+            return found
         text = chunk.decode()
         if self.parts and self.plain.fullmatch(text):
             own, known = self.parts.findall(text.lower()), self.known
             for x in own:
                 if x not in known:
-                    known[x] = self._whole(x)
+                    known[x] = self.known_before.get(x) or self._whole(x)
             found = b"".join([known[x] for x in own])
         else:
             found = self._whole(text)
@@ -69,9 +74,10 @@ class ChunkIds(dict):
 
     def encode(self, text: str | None, end: int | None) -> np.ndarray:
         if len(self) > self.most:
+            self.before = dict(self)
             self.clear()
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.known_before = {}, self.known
         found = b"".join(map(self.__getitem__, (text or "").encode().split()))
         return np.frombuffer(found + np.uint32(end).tobytes() if end is not None else found, "<u4")
 

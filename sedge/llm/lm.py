@@ -32,7 +32,7 @@ from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_ca
 
 END = b"\n"  # no word holds white space
 CLASSES, SLOTS, ROWS = 24, 12, 1 << 15
-HEAD, CONTEXT = 65_536, 8_192
+HEAD, CONTEXT = 262_144, 8_192
 BLOCK = 2048
 F32 = np.float32
 

@@ -1,0 +1,57 @@
+import numpy as np
+import pytest
+
+from sedge.llm import neardup
+
+
+def brute(rows, cosine):
+    ok = [e is not None and label is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e, label in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, a, x) in enumerate(rows):
+        for j, (_, b, y) in enumerate(rows[:i]):
+            if ok[i] and ok[j] and x == y and len(a) == len(b):
+                u, v = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
+                if np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v)) >= cosine or (u == v).all():
+                    links[i] += 1
+                    links[j] += 1
+                    root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    return sorted(((r[0], links[i], least.get(find(i)), r[0] == least.get(find(i))) for i, r in enumerate(rows)), key=str)
+
+
+def fixture(n=150):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] * (1 + i % 3) + rng.normal(size=8) * (0.02 if i % 4 else 0.4)).tolist(), i % 2) for i in range(n)]
+    rows += [(1000 + i, rows[5][1], 1) for i in range(7)]
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 8, 1), (2003, [float("nan")] * 8, 1), (2004, [None, *[1.0] * 7], 1), (2005, rows[3][1], None), (2006, [1.0, 2.0], 1), (2006, rows[7][1], 1), (2007, [float("inf")] * 8, 0)]
+    return rows
+
+
+@pytest.mark.parametrize("points,cosine", [(4096, 0.93), (20, 0.93), (9, 0.7), (4096, 0.999)])
+def test_against_brute_force(spark, points, cosine):
+    rows = fixture()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = neardup.link(df, cosine, task_points=points).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, cosine)
+
+
+def test_whole_pairs_of_nodes_are_counted():
+    rng = np.random.default_rng(3)
+    x = np.ones((60, 16)) + rng.normal(size=(60, 16)) * 1e-3
+    ids = np.arange(60)
+    links, edges = neardup.join((ids, np.ones(60, int), x), (ids, np.ones(60, int), x), 0.93)
+    assert (links == 59).all() and len(edges) == 59
+
+
+def test_empty_table(spark):
+    assert neardup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -210,7 +210,7 @@ def _arrays(column: list) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in column]
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 4_000_000, pivots: int = 8) -> DataFrame:
+def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 500_000, pivots: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every row.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own id. Equal sets are

@@ -313,7 +313,7 @@ def _digest(name: str) -> Maker:
 
 FUNCTIONS: dict[str, tuple[int, int, Maker]] = {
     # name: least and most arguments (-1: any number), maker
-    "length": (1, 1, lambda a: Sql(f"LENGTH({a[0] if a[0].kind == 'blob' else text(a[0])})", "int")),
+    "length": (1, 1, lambda a: Sql(f"CAST(LENGTH({a[0] if a[0].kind == 'blob' else text(a[0])}) AS BIGINT)", "int")),
     "upper": (1, 1, _fixed("UPPER({0})", "text", text)),
     "lower": (1, 1, _fixed("LOWER({0})", "text", text)),
     "substr": (2, 3, _substr), "substring": (2, 3, _substr),
@@ -321,7 +321,7 @@ FUNCTIONS: dict[str, tuple[int, int, Maker]] = {
     "ltrim": (1, 2, _trim("LEADING", r"^[ \\t\\n\\x0B\\f\\r]+")),
     "rtrim": (1, 2, _trim("TRAILING", r"[ \\t\\n\\x0B\\f\\r]+$")),
     "replace": (3, 3, lambda a: Sql(f"CASE WHEN COALESCE({text(a[1])}, '') = '' THEN {text(a[0])} ELSE REPLACE({text(a[0])}, {text(a[1])}, COALESCE({text(a[2])}, '')) END", "text")),
-    "instr": (2, 2, _fixed("COALESCE(INSTR({0}, {1}), 0)", "int", text, text)),
+    "instr": (2, 2, _fixed("CAST(COALESCE(INSTR({0}, {1}), 0) AS BIGINT)", "int", text, text)),
     "char": (0, -1, _char),
     "unicode": (1, 1, _fixed("ASCII(NULLIF({0}, ''))", "int", text)),
     "quote": (1, 1, lambda a: quote(a[0])),

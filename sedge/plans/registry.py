@@ -100,6 +100,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "in_subquery_group": ("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer GROUP BY c_custkey HAVING COUNT(*) = 1) AND o_totalprice > 350000", SAME),
     "exists_theta": ("SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM supplier t WHERE t.s_nationkey = s.s_nationkey AND t.s_acctbal > s.s_acctbal + 5000)", SAME),
     "above_group_average": ("SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)", SAME),
+    "two_level_correlated": ("SELECT r_name FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_custkey % 5 = r.r_regionkey AND c.c_acctbal > 9000))", SAME),
+    "two_level_in": ("SELECT r_name FROM region r WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n_regionkey = r_regionkey AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 7 = r_regionkey AND c_acctbal > 9950))", SAME),
     "derived_table": ("SELECT k, SUM(n) AS s FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) GROUP BY k", "SELECT k, CAST(SUM(n) AS BIGINT) AS s FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) t GROUP BY k"),
     # common table expressions
     "cte_chain": ("WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, COUNT(*) AS c FROM a GROUP BY n) SELECT n, c FROM b WHERE c > 1", SAME),

@@ -119,6 +119,10 @@ def test_reopening_and_conflicts(spark, tmp_path):
     with pytest.raises(StoreError):
         b.sql("INSERT INTO t VALUES (3, 'z')")
     assert Engine(spark, path).rows("SELECT COUNT(*) FROM t") == [(2,)]
+    a.sql("CREATE TEMP TABLE tmp AS SELECT * FROM t")
+    assert a.rows("SELECT COUNT(*) FROM tmp") == [(2,)]
+    with pytest.raises(DialectError):
+        Engine(spark, path).sql("SELECT * FROM tmp")
 
 
 def test_routines_sequences_and_functions(engine):
@@ -147,3 +151,9 @@ def test_numeric_languages(spark, source, language, args, want):
     except routines.Looping:
         return
     assert spark.sql(f"SELECT {text}").first()[0] == want
+
+
+def test_keywords():
+    from sedge.plans.parser import KEYWORDS, is_keyword
+
+    assert is_keyword("select") and not is_keyword("colour") and list(KEYWORDS) == sorted(KEYWORDS)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_cache, words
 
 END = b"\n"  # no word holds white space
-CLASSES, SLOTS, ROWS = 24, 12, 1 << 15
+CLASSES, SLOTS, ROWS = 20, 10, 1 << 15
 HEAD, CONTEXT = 262_144, 8_192
 BLOCK = 2048
 F32 = np.float32
@@ -66,19 +67,32 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.words: list[bytes] = []
-        self.symbol, self.cls, self.slot, self.count = (np.zeros(1 << 16, t) for t in (np.uint32, np.uint8, np.uint8, np.int64))
+        self.symbol, self.cls, self.slot, self.count = array("I"), array("B"), array("B"), array("q")
+        self.ends: dict[bytes, tuple[int, int]] = {}
 
     def __missing__(self, word: bytes) -> int:
-        x, i = self.lexicon, len(self)
-        if i == len(self.symbol):
-            self.symbol, self.cls, self.slot, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.symbol, self.cls, self.slot, self.count))
-        c = x.class_of(word)
-        self.cls[i], self.slot[i], self.count[i] = c, x.slots.get(word, SLOTS - 1), x.head.get(word, -1)
-        self.symbol[i] = zlib.crc32(word) if word in x.context else zlib.crc32(word[-2:], 0x5ED6E)
-        self[word] = i
+        x, end = self.lexicon, word[-2:]
+        known = self.ends.get(end)
+        if known is None:
+            known = self.ends[end] = x.class_of(word), zlib.crc32(end, 0x5ED6E)
+        count = x.head.get(word)
+        self.cls.append(known[0])
+        if count is None:
+            self.count.append(-1)
+            self.slot.append(SLOTS - 1)
+            self.symbol.append(known[1])
+        else:
+            self.count.append(count)
+            self.slot.append(x.slots.get(word, SLOTS - 1))
+            self.symbol.append(zlib.crc32(word) if word in x.context else known[1])
+        self[word] = i = len(self.words)
         self.words.append(word)
         return i
 
+    def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, classes, slots and counts (-1: not among the most frequent) of words by number."""
+        return tuple(np.frombuffer(a, t)[ids] for a, t in ((self.symbol, np.uint32), (self.cls, np.uint8), (self.slot, np.uint8), (self.count, np.int64)))
+
     def of(self, text: str | None) -> np.ndarray:
         own = words(text)
         own.append(END)
@@ -111,8 +125,8 @@ def features(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def by_class(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Features of the second softmax: the last word and the skip, each with the class."""
-    return _mix(f[:2] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
+    """The feature of the second softmax: the last word with the class, 1 by n."""
+    return _mix(f[:1] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -133,7 +147,7 @@ class Model:
         g = by_class(f, cls)
         a, b = self.tables
         p = _softmax(a[f[0]] + a[f[1]] + a[f[2]] + self.lexicon.class_prior)
-        q = _softmax(b[g[0]] + b[g[1]] + self.lexicon.slot_prior[cls])
+        q = _softmax(b[g[0]] + self.lexicon.slot_prior[cls])
         return f, g, p, q
 
     def log10(self, symbol, cls, slot, starts) -> np.ndarray:
@@ -282,7 +296,7 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 2) -> Model:
             trainer = Trainer(shared_words.value, tuple(t.astype(F32) for t in tables.value))
             own = words_of(shared_words.value)
             for _, ids, starts in _batches(own, ((None, text) for (text,) in rows_of(batches, "text")), 200_000):
-                symbol, cls, slot = own.symbol[ids], own.cls[ids], own.slot[ids]
+                symbol, cls, slot, _ = own.look(ids)
                 for a, b, begin in _pieces(len(ids), starts):
                     trainer.step(symbol[a:b], cls[a:b], slot[a:b], begin)
             if any(t.any() for t in trainer.times):
@@ -332,7 +346,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 2, id_col: str = "doc_
         rid = (context.partitionId() if context else 0) << 36
         texts = (((doc_id, held), text) for doc_id, held, text in rows_of(batches, "doc_id", "held_out", "text"))
         for keys, ids, starts in _batches(own, texts, 100_000):
-            symbol, cls, slot, counted = own.symbol[ids], own.cls[ids], own.slot[ids], own.count[ids]
+            symbol, cls, slot, counted = own.look(ids)
             log = np.concatenate([model.log10(symbol[a:b], cls[a:b], slot[a:b], begin) for a, b, begin in _pieces(len(ids), starts)])
             in_rest, head = slot == SLOTS - 1, counted >= 0
             word_log = np.where(head, np.log10(np.maximum(counted, 0) + 0.1), 0.0)

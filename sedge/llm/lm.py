@@ -4,7 +4,7 @@ P(word | history) = P(class | history) * P(slot | class, history) * P(word | res
 (the most frequent endings have one each, the others share one, the end of a text has its own). A class has slots for its
 most frequent words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word
 included, so the model is a distribution. Both softmaxes are log-linear in hashed features of the history: the last word,
-the skip to the one before it, and the two together; rare words of the history count by their ending. They
+skips to the second and third last, and the last two together; rare words of the history count by their ending. They
 start from the counts, so that features only learn what the history adds.
 
 Training: the training documents are dealt into rounds. In each, every task starts from the shared parameters, makes
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_cache, words
 
 END = b"\n"  # no word holds white space
-CLASSES, SLOTS, ROWS = 20, 10, 1 << 15
+CLASSES, SLOTS, ROWS = 32, 16, 1 << 15
 HEAD, CONTEXT = 262_144, 8_192
 BLOCK = 2048
 F32 = np.float32
@@ -111,22 +111,22 @@ def _mix(a: np.ndarray) -> np.ndarray:
 
 
 def features(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed features of every position's history, 3 by n: last word, the skip to the one before, the two together."""
+    """Hashed features of every position's history, 4 by n: last word, skips of one and of two, last two words."""
     n, past = len(symbol), []
     since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    for k in (1, 2):
+    for k in (1, 2, 3):
         x = np.full(n, k, np.uint32)
         x[k:] = symbol[: n - k] if n > k else symbol[:0]
         x[since < k] = k  # before the text
         past.append(x)
-    f = [_mix(past[k] * np.uint32(2 * k + 3) + np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) for k in range(2)]
+    f = [_mix(past[k] * np.uint32(2 * k + 3) + np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) for k in range(3)]
     f.append(_mix(f[0] ^ (past[1] * np.uint32(0x85EBCA6B))))
     return np.stack(f) % np.uint32(ROWS)
 
 
 def by_class(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """The feature of the second softmax: the last word with the class, 1 by n."""
-    return _mix(f[:1] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
+    """Features of the second softmax: the last word and the skips, each with the class."""
+    return _mix(f[:3] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -137,6 +137,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _sum(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = table[rows[0]]
+    for r in rows[1:]:
+        z += table[r]
+    return z
+
+
+def _sums(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, n[i] of them each."""
+    first = np.cumsum(np.r_[0, n[:-1]])
+    if n.min() > 16:
+        ones = np.ones(int(n.max()), F32)
+        return np.stack([ones[:k] @ rows[i : i + k] for i, k in zip(first.tolist(), n.tolist(), strict=True)])
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(F32)  # two columns at a time
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, tables: tuple[np.ndarray, np.ndarray] | None = None):
         self.lexicon = lexicon
@@ -146,8 +162,8 @@ class Model:
         f = features(symbol, starts)
         g = by_class(f, cls)
         a, b = self.tables
-        p = _softmax(a[f[0]] + a[f[1]] + a[f[2]] + self.lexicon.class_prior)
-        q = _softmax(b[g[0]] + self.lexicon.slot_prior[cls])
+        p = _softmax(_sum(a, f) + self.lexicon.class_prior)
+        q = _softmax(_sum(b, g) + self.lexicon.slot_prior[cls])
         return f, g, p, q
 
     def log10(self, symbol, cls, slot, starts) -> np.ndarray:
@@ -176,11 +192,21 @@ class Trainer(Model):
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            own = flat[first].astype(np.int64)
-            total = np.add.reduceat(gradient[order % len(cls)], first, axis=0)
-            self.had[t][own] += np.einsum("ij,ij->i", total, total)
-            self.tables[t][own] -= (self.rate / np.sqrt(self.had[t][own]))[:, None] * total
-            self.times[t][own] += np.diff(np.r_[first, len(flat)])
+            times = np.diff(np.r_[first, len(flat)])
+            # rows met once need no sum; few are met very often, which a product with ones sums fastest
+            for met in (times == 1, (times > 1) & (times <= 16), times > 16):
+                n = times[met]
+                if len(n):
+                    own = gradient[order[np.repeat(met, times)] % len(cls)]
+                    self._move(t, flat[first[met]].astype(np.int64), own if n[-1] == 1 and n.max() == 1 else _sums(own, n), n)
+
+    def _move(self, t: int, rows: np.ndarray, total: np.ndarray, times) -> None:
+        """A step of these rows, each once, by their gradients."""
+        had = self.had[t][rows] + np.einsum("ij,ij->i", total, total)
+        self.had[t][rows] = had
+        total *= (-self.rate / np.sqrt(had))[:, None]
+        self.tables[t][rows] += total
+        self.times[t][rows] += times
 
 
 def _batches(vocabulary: Words, texts: Iterator, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -283,7 +309,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(head, endings, slots, (by_class_log - np.log(np.exp(by_class_log).sum())).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
 
 
-def train(docs: DataFrame, known: Lexicon, rounds: int = 2) -> Model:
+def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
     """docs: doc_id, text of the training documents."""
     spark, model = docs.sparkSession, Model(known)
     shared_words = spark.sparkContext.broadcast(known)
@@ -320,7 +346,7 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 2) -> Model:
     return model
 
 
-def score(docs: DataFrame, folds: int = 10, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Trained on the rows whose crc32 of the id as text isn't 0 mod folds; a null id is in training. Null and empty texts

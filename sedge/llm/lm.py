@@ -33,7 +33,7 @@ from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_ca
 
 END = b"\n"  # no word holds white space
 CLASSES, SLOTS, ROWS = 32, 16, 1 << 15
-HEAD, CONTEXT = 262_144, 8_192
+HEAD, CONTEXT = 131_072, 8_192
 BLOCK = 2048
 F32 = np.float32
 
@@ -43,6 +43,7 @@ class Lexicon:
     """What the tasks know of words: counts of the most frequent, endings with their classes, slots, and the rest of each class."""
 
     head: dict[bytes, int]
+    floor: int  # the least level of counts in the head
     endings: dict[bytes, int]
     slots: dict[bytes, int]
     class_prior: np.ndarray
@@ -273,10 +274,24 @@ def count(train: DataFrame) -> DataFrame:
     return cut(train.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-counts")
 
 
+def _level():
+    """Of a count: 64 levels for each factor of e."""
+    return F.floor(F.log(F.col("c").cast("double")) * 64)
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     """From the counts of all words; a bounded number of words and endings comes to the driver."""
-    tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).collect()]
+    tokens, types, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.max(F.when(F.col("w") == F.lit(END), F.col("c")))).first()
+    # the least level of counts above which there are at most HEAD words; levels are logarithmic, so few
+    words_at = {r["level"]: r["n"] for r in counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n")).collect()}
+    floor, n = 1 << 20, 0
+    for level in sorted(words_at, reverse=True):
+        n += words_at[level]
+        if n > HEAD:
+            break
+        floor = level
+    got = counts.where(_level() >= floor).toArrow()
+    top = sorted(zip(got["w"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     ending = F.substring("w", -2, 2)
     masses = counts.where(F.col("w") != F.lit(END)).groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     endings = {bytes(r["e"]): i + 2 for i, r in enumerate(masses.orderBy(F.desc("c"), "e").limit(CLASSES - 2).collect())}
@@ -286,7 +301,9 @@ def lexicon(counts: DataFrame) -> Lexicon:
     else:
         by = {}
     head = dict(top)
-    by[0] = (head.get(END, 0), 1 if END in head else 0)
+    if ends:
+        head[END] = ends
+    by[0] = (ends or 0, 1 if ends else 0)
     slots: dict[bytes, int] = {END: 0}
     used, taken = np.zeros(CLASSES, int), np.zeros((CLASSES, SLOTS))
     used[0], taken[0, 0] = 1, head.get(END, 0)
@@ -306,7 +323,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     prior[0, 0] = 0.0
     prior -= np.log(np.exp(prior).sum(1, keepdims=True))
     by_class_log = np.log(mass + rest_total - rest)
-    return Lexicon(head, endings, slots, (by_class_log - np.log(np.exp(by_class_log).sum())).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
+    return Lexicon(head, floor, endings, slots, (by_class_log - np.log(np.exp(by_class_log).sum())).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
 
 
 def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
@@ -391,7 +408,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
             rid += rows
 
     table = cut(source.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, w binary, tf int"), "lm-scores")
-    rare = counts.where(F.col("c") <= (min(known.head.values()) if len(known.head) >= HEAD else 0))
+    rare = counts.where(_level() < known.floor)
     tail = table.where("w is not null").select("rid", "w", "tf").join(rare, "w", "left")
     per = tail.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_tail"))
     both = table.where("w is null").join(per, "rid", "left")

@@ -41,7 +41,7 @@ class ChunkIds(dict):
     #: Latin code points that lower-case alone and are composed already.
     plain = regex.compile("[\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f]+")
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,22 +55,43 @@ class ChunkIds(dict):
     def _whole(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = self.before.get(chunk)
-        if found is not None:
+    def _learn_parts(self, new: list[str]) -> None:
+        """Ids of parts, each of which is one word to the tokenizer, so they are encoded together and told apart by word."""
+        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        words, ids = np.asarray(got.word_ids), np.asarray(got.ids, "<u4")
+        starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]).tolist()
+        if len(starts) != len(new):
+            for x in new:
+                self.known[x] = self._whole(x)
+            return
+        raw = ids.tobytes()
+        for x, i, j in zip(new, starts, [*starts[1:], len(ids)], strict=True):
+            self.known[x] = raw[4 * i : 4 * j]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Ids of chunks that aren't remembered."""
+        known, older, split, new = self.known, self.known_before, [], {}
+        for chunk in chunks:
+            found = self.before.get(chunk)
+            if found is None:
+                text = chunk.decode()
+                if not self.parts or not self.plain.fullmatch(text):
+                    found = self._whole(text)
+                else:
+                    own = self.parts.findall(text.lower())
+                    split.append((chunk, own))
+                    for x in own:
+                        if x not in known and x not in new:
+                            if x in older:
+                                known[x] = older[x]
+                            else:
+                                new[x] = None
+                    continue
             self[chunk] = found
-            return found
-        text = chunk.decode()
-        if self.parts and self.plain.fullmatch(text):
-            own, known = self.parts.findall(text.lower()), self.known
-            for x in own:
-                if x not in known:
-                    known[x] = self.known_before.get(x) or self._whole(x)
-            found = b"".join([known[x] for x in own])
-        else:
-            found = self._whole(text)
-        self[chunk] = found
-        return found
+        if new:
+            self._learn_parts(list(new))
+        for chunk, own in split:
+            self[chunk] = b"".join([known[x] for x in own])
 
     def encode(self, text: str | None, end: int | None) -> np.ndarray:
         if len(self) > self.most:
@@ -78,8 +99,13 @@ class ChunkIds(dict):
             self.clear()
         if len(self.known) > self.most:
             self.known, self.known_before = {}, self.known
-        found = b"".join(map(self.__getitem__, (text or "").encode().split()))
-        return np.frombuffer(found + np.uint32(end).tobytes() if end is not None else found, "<u4")
+        chunks = (text or "").encode().split()
+        found = list(map(self.get, chunks))
+        if None in found:
+            self.learn({c for c, x in zip(chunks, found, strict=True) if x is None})
+            found = [x if x is not None else self[c] for c, x in zip(chunks, found, strict=True)]
+        raw = b"".join(found)
+        return np.frombuffer(raw + np.uint32(end).tobytes() if end is not None else raw, "<u4")
 
 
 def chunk_ids(path: str) -> ChunkIds:

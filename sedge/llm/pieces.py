@@ -1,9 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Byte-pair merges by an agenda: adjacent symbols whose union is a piece are candidates, taken by score, then from the left.
-With dropout each candidate taken is skipped by a keyed hash of (seed, variant, chunk, place, piece), so a text has many
-segmentations, but one for each seed. Text is cut into chunks that no piece crosses (runs of spaces with what follows);
-each occurrence of a chunk gets one of `variants` by a keyed hash of the text and its place, so chunks can be remembered.
+With dropout each candidate taken is skipped by a draw of its own: a text's candidates are numbered from its start, and the
+numbers of those skipped come from a keyed hash of (seed, text), so a text has many segmentations, but one for each seed.
+Text is cut into chunks that no piece crosses (runs of spaces with what follows). What is remembered of a chunk is what
+follows from the numbers skipped in it (none, one or two); with more of them, and in long chunks, it is merged anew.
 
 Ids decode to the exact text: characters that aren't pieces become byte pieces, as does the space mark itself where it
 occurs in a text.
@@ -17,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.common import batch, small_batches, worker_cache
+from sedge.llm.jaccard import mix
 
 MARK = "▁"
 _CHUNK = re.compile(rf" *[^ \n\t{MARK}]+| +|[\n\t{MARK}]")
+_NEVER = 2**63
+_LONG = 32  # letters of chunks that are remembered with skips
 
 
 class Pieces:
     """A BPE model with byte fallback, read from a SentencePiece file."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 300_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, most: int = 600_000):
         import sentencepiece
 
-        if not 0 <= dropout <= 1 or variants < 1:
-            raise ValueError("dropout must be from 0 to 1, variants positive")
+        if not 0 <= dropout <= 1:
+            raise ValueError("dropout must be from 0 to 1")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids, self.score, self.bytes_of, self.byte_id = {}, {}, [], {}
         for i in range(model.get_piece_size()):
@@ -55,16 +60,32 @@ class Pieces:
                 self.bytes_of.append(piece.encode())
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte fallback")
-        self.limit, self.seed, self.most = int(dropout * 2**64), seed, most
-        self.variants = variants if dropout else 1
-        self.known, self.older = ([{} for _ in range(self.variants)] for _ in range(2))  # ids by chunk
-
-    def merge(self, chunk: str, variant: int) -> list[str]:
-        """Symbols of a chunk after all merges that aren't skipped."""
+        self.seed, self.most = seed & 0xFFFFFFFFFFFFFFFF, most
+        # chances in 2**63 that a run of candidates taken is at most so long; runs longer than the table are drawn in parts
+        self.runs = np.array([round((1 - (1 - dropout) ** (i + 1)) * 2**63) for i in range(512)] if dropout else [], np.uint64)
+        self.known, self.older = {}, {}  # number of candidates, and ids, by chunk, and by chunk and numbers skipped in it
+
+    def skipped(self, text: str) -> Iterator[int]:
+        """Numbers of the text's candidates that are skipped, ascending."""
+        if not len(self.runs):
+            yield from repeat(_NEVER)
+        key, start, n, at = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed)), 1, 64, 0
+        while True:
+            drawn = mix(key + np.arange(start, start + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            run = np.searchsorted(self.runs, drawn, "right")
+            ends = run < len(self.runs)
+            after = at + np.cumsum(run + ends)
+            yield from (after[ends] - 1).tolist()
+            start, n, at = start + n, min(2 * n, 8192), int(after[-1])
+
+    def merge(self, chunk: str, taken: int = 0, skip: int = _NEVER, more: Iterator[int] = repeat(_NEVER)) -> tuple[list[str], int, int, tuple]:
+        """Symbols of a chunk after all merges that aren't skipped, the number after its last candidate, the next one skipped,
+        and which of the chunk's own candidates were.
+
+        taken: the number of its first candidate; skip: the first number skipped; more: those after it."""
         symbols: list[str | None] = list(chunk)
-        n, score, limit = len(symbols), self.score, self.limit
+        n, score, base, skips = len(symbols), self.score, taken, ()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = xxhash.xxh64_intdigest(chunk, self.seed * 1_000_003 + variant & 0xFFFFFFFFFFFFFFFF) if limit else 0
         agenda = [(-s, i, piece) for i, piece in enumerate(map(str.__add__, chunk, chunk[1:])) if (s := score.get(piece)) is not None]
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
@@ -73,8 +94,11 @@ class Pieces:
             left = symbols[i]
             if left is None or (j := after[i]) >= n or left + symbols[j] != piece:
                 continue  # what it would join is gone
-            if limit and xxhash.xxh64_intdigest(f"{i} {piece}", key) < limit:
-                continue  # skipped
+            taken += 1
+            if taken > skip:
+                skips += (skip - base,)
+                skip = next(more)
+                continue
             symbols[i], symbols[j] = piece, None
             after[i] = k = after[j]
             if k < n:
@@ -83,11 +107,11 @@ class Pieces:
                     push(agenda, (-s, i, longer))
             if (h := before[i]) >= 0 and (s := score.get(longer := symbols[h] + piece)) is not None:
                 push(agenda, (-s, h, longer))
-        return [x for x in symbols if x is not None]
+        return [x for x in symbols if x is not None], taken, skip, skips
 
-    def chunk_ids(self, chunk: str, variant: int) -> bytes:
+    def ids_of(self, symbols: list[str]) -> bytes:
         out = array("I")
-        for x in [chunk] if chunk == MARK else self.merge(chunk, variant):
+        for x in symbols:
             i = self.ids.get(x)
             if i is None:
                 out.extend(self.byte_id[b] for b in x.encode())
@@ -98,20 +122,30 @@ class Pieces:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if sum(map(len, self.known)) > self.most * self.variants:  # the last generation is still looked into once
-            self.older, self.known = self.known, [{} for _ in self.known]
-        chunks, out, known = _CHUNK.findall(" " + text), [], self.known
-        if self.variants > 1:
-            place = np.arange(len(chunks), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
-            place = (place ^ (place >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            chosen = ((place >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-        else:
-            chosen = [0] * len(chunks)
-        for chunk, v in zip(chunks, chosen, strict=True):
-            own = known[v].get(chunk)
-            if own is None:
-                own = known[v][chunk] = self.older[v].get(chunk) or self.chunk_ids(chunk, v)
-            out.append(own)
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        out, known, more, at = [], self.known, self.skipped(text), 0
+        skip = next(more)  # at: the number of the next candidate
+        for chunk in _CHUNK.findall(" " + text):
+            if chunk not in known and chunk in self.older:  # the last generation is still looked into once
+                known[chunk] = self.older[chunk]
+            own = plain = known.get(chunk)
+            key: tuple = (chunk,)
+            while own and at + own[0] > skip and len(key) < 3 and len(chunk) <= _LONG:
+                key += (skip - at,)
+                skip = next(more)
+                own = known.get(key)
+            if own and at + own[0] <= skip:
+                at += own[0]
+            else:
+                first, start = chain([at + x for x in key[1:]], (skip,), more), at
+                symbols, at, skip, skips = self.merge(chunk, at, next(first), first)
+                own = at - start, self.ids_of(symbols)
+                if not skips:
+                    known[chunk] = own
+                elif plain and len(skips) < 3 and len(chunk) <= _LONG:
+                    known[(chunk, *skips)] = own
+            out.append(own[1])
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:
@@ -119,17 +153,17 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))[1:].decode()
 
 
-def pieces(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> Pieces:
+def pieces(path: str, dropout: float = 0.1, seed: int = 0) -> Pieces:
     """One per Python worker and setting."""
-    return worker_cache(("pieces", path, dropout, seed, variants), lambda: Pieces(path, dropout, seed, variants))
+    return worker_cache(("pieces", path, dropout, seed), lambda: Pieces(path, dropout, seed))
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row; null and empty texts have none. Other columns are ignored."""
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, dropout, seed, variants)
+        model = pieces(path, dropout, seed)
         for got in batches:
             yield batch(fields, [got.column("doc_id"), [model.encode(x).astype(np.int32) for x in got.column("text").to_pylist()]])
 
@@ -148,7 +182,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of op7: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), decoded_sha256, lossless.
 
     Each text is encoded and its ids decoded again. Null and empty texts have no ids; repeated rows and rows that share an
@@ -157,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0,
     fields = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, dropout, seed, variants)
+        model = pieces(path, dropout, seed)
         for got in batches:
             rows = []
             for doc_id, text in zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), strict=True):

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import sentencepiece
 
 from sedge.llm import pieces
@@ -37,6 +39,37 @@ def test_forgetting_changes_nothing():
         assert small.encode(t).tolist() == large.encode(t).tolist()
 
 
+def slow(model, text):
+    """Merges chunk by chunk with nothing remembered."""
+    more, at, out = model.skipped(text), 0, b""
+    skip = next(more)
+    for chunk in pieces._CHUNK.findall(" " + text):
+        symbols, at, skip, _ = model.merge(chunk, at, skip, more)
+        out += model.ids_of(symbols)
+    return np.frombuffer(out, "<u4").tolist()
+
+
+def test_every_occurrence_has_draws_of_its_own():
+    text = "conversations " * 4000
+    for dropout in (0.001, 0.1, 0.5, 1.0):
+        model = pieces.Pieces(PATH, dropout, 5)
+        for t in [text, *TEXTS, *TEXTS]:
+            assert model.encode(t).tolist() == slow(model, t)
+        numbers = list(itertools.takewhile(lambda x: x < 200_000, model.skipped(text)))
+        assert sorted(set(numbers)) == numbers and abs(len(numbers) - 200_000 * dropout) <= 6 * (200_000 * dropout * (1 - dropout)) ** 0.5
+
+
+def test_no_word_is_bound_to_a_few_segmentations():
+    model, plain = pieces.Pieces(PATH, 0.1, 5), pieces.Pieces(PATH, 0.0)
+    single = [w for w in "abcdefghijklmnopqrstuvwxyz" if len(plain.encode(w)) == 1]
+    assert len(single) > 15
+    for w in single:  # one candidate, of which a tenth is skipped, in any word
+        split = len(model.encode(f"{w} " * 3000 + ".")) - len(plain.encode(f"{w} " * 3000 + "."))
+        assert 0.07 * 3000 < split < 0.13 * 3000
+    ids = " ".join(map(str, model.encode("conversations " * 4000).tolist()))
+    assert len(set(ids.split(f" {plain.encode('conversations conversations').tolist()[-1]} "))) > 20
+
+
 def test_tables(spark):
     df = docs(spark, edge_rows())
     got = pieces.round_trip(df, PATH).collect()

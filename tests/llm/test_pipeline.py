@@ -7,6 +7,7 @@ from sedge.llm import pii
 from sedge.llm.queries import oracle_sql, queries, tokenizer_path
 from tests.llm.helpers import docs, edge_rows
 from tests.llm.test_jaccard import brute as linked
+from tests.llm.test_jaccard import near_copies
 from tests.llm.test_linededup import brute as deduped
 
 
@@ -56,6 +57,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, again.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, now.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_near_duplicates_share_five_word_shingles(spark):
+    own = [f"w{i}" for i in range(100)]
+    rows = [(i, t) for i, t in edge_rows() if i] + [(20, " ".join(own)), (21, " ".join(own[:90] + [f"x{i}" for i in range(10)]))]  # 86 of 106
+    rows += [(30 + i, t) for i, t in near_copies(4)]
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").select("doc_id", "text").collect()
+    keep = {d for d, _, c in linked(rows, 5, 80) if d == c}
+    assert 20 in keep and 21 not in keep and keep != {d for d, _, c in linked(rows) if d == c}
+    assert sorted(map(tuple, got), key=str) == sorted({r for r in rows if r[0] in keep}, key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     now = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:

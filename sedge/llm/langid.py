@@ -4,7 +4,7 @@ A suffix automaton is built per language from a bounded sample of labelled text.
 into phrases, each the longest match from where the last one ended; fewer phrases mean a smaller cross entropy. A phrase
 costs log2 of the sample's length, so the estimate is phrases * log2(sample) / letters, and the least one wins.
 
-The automata become dense transition tables, and texts are parsed in lockstep: whole texts are cut into segments (a
+The automata become transition tables, dense for the most frequent letters and sorted for all others, and texts are parsed in lockstep: whole texts are cut into segments (a
 phrase never crosses a cut), and one numpy step moves all segments on by one letter against all languages.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sedge.llm.common import batch, fold, small_batches, worker_cache
 
 SEGMENT, LANES = 1024, 2048
+DENSE = 2**26  # entries of all languages' dense tables at most, which bounds their letters and nothing else
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_letter", pa.float64())])
 DDL = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_letter double"
 
@@ -74,31 +75,56 @@ class Model:
         seen, counts = np.unique(np.concatenate([*coded.values(), np.zeros(0, np.uint32)]), return_counts=True)
         keep = letters()[seen]
         seen, counts = seen[keep], counts[keep]
-        seen = np.sort(seen[np.argsort(-counts, kind="stable")[:253]])
-        self.seen, self.width = seen, len(seen) + 2  # 0: no letter, the last: a letter not in any sample
-        tables, self.roots, self.cost, base = [], [], [], 0
-        for k in self.langs:
-            codes = self.code(coded[k])
-            moves = automaton(codes.tolist())
+        self.seen = seen[np.argsort(-counts, kind="stable")]
+        self.width = len(seen) + 2  # until the tables' own is known: letters are 1 and up by frequency
+        moves_of = {k: automaton(self.code(coded[k]).tolist()) for k in self.langs}
+        states = sum(map(len, moves_of.values()))
+        dense = min(len(seen), 253, max(1, DENSE // max(1, states) - 2))
+        self.width = dense + 2  # 0: no letter, 1 to dense: frequent letters, then a letter not in any sample, then all others
+        self.__dict__.pop("_codes", None)
+        tables, self.roots, self.cost, base, rare_at, rare_to = [], [], [], 0, [], []
+        self.stride = len(seen) + 2
+        self.first_rare = np.zeros((len(self.langs), max(1, len(seen) - dense)), np.int32)
+        for i, k in enumerate(self.langs):
+            moves = moves_of[k]
             to = np.full((len(moves), self.width), -1, np.int64)
+            self.first_rare[i] = base * 2 + 1
             for s, m in enumerate(moves):
-                to[s, list(m)] = list(m.values())
+                for c, t in m.items():
+                    if c <= dense:
+                        to[s, c] = t
+                    else:  # such a letter's number is one more, after that of unknown ones
+                        rare_at.append((base + s * self.width) * self.stride + c)
+                        rare_to.append((base + t * self.width) * 2 + (not s))
+                        if not s:
+                            self.first_rare[i, c - dense - 1] = rare_to[-1]
             first = np.where(to[0] < 0, 0, to[0])
             table = np.where(to < 0, (base + first * self.width) * 2 + 1, (base + to * self.width) * 2)
             table[0] |= 1  # at the root a phrase begins, and an unknown letter is one and leads back there
             tables.append(table.astype(np.int32).ravel())
             self.roots.append(base)
-            self.cost.append(np.log2(max(2, len(codes))))
+            self.cost.append(np.log2(max(2, len(self.code(coded[k])))))
             base += len(moves) * self.width
         if base >= 2**30:
             raise ValueError("too many languages or too long samples for one table")
         self.table = np.concatenate([*tables, np.zeros(0, np.int32)])
+        order = np.argsort(np.array(rare_at, np.int64), kind="stable")
+        self.rare_at, self.rare_to = np.array(rare_at, np.int64)[order], np.array(rare_to, np.int32)[order]
+        self.limits: dict[str, float] = {}  # bits a letter that held-out text of a language costs, by which reject() goes
+
+    def rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries of states (by language) and letters that aren't in the dense tables."""
+        c = codes.astype(np.int64) - 1
+        want = state.astype(np.int64) * self.stride + c
+        at = np.minimum(np.searchsorted(self.rare_at, want), len(self.rare_at) - 1)
+        return np.where(self.rare_at[at] == want, self.rare_to[at], self.first_rare[:, codes - self.width])
 
     def code(self, at: np.ndarray) -> np.ndarray:
         """Letters as small numbers; runs of other characters as a single 0, none at the ends."""
         if not hasattr(self, "_codes"):
-            self._codes = np.where(letters(), self.width - 1, 0).astype(np.uint8)
-            self._codes[self.seen] = np.arange(1, len(self.seen) + 1)
+            number = np.arange(1, len(self.seen) + 1)
+            self._codes = np.where(letters(), self.width - 1, 0).astype(np.int32)
+            self._codes[self.seen] = number + (number > self.width - 2)
         codes = self._codes[at]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
@@ -112,14 +138,21 @@ class Model:
         """Phrases of each segment (rows) against each language (columns)."""
         order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
         n, k, lengths = len(order), len(self.langs), np.array([len(segments[i]) for i in order])
-        grid = np.zeros((lengths.max(initial=0), n), np.uint8)
+        grid = np.zeros((lengths.max(initial=0), n), np.int32)
         for j, i in enumerate(order):
             grid[: lengths[j], j] = segments[i]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], n, 1)
         count = np.zeros((k, n), np.int32)
         active = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         for row, m in zip(grid, active, strict=True):
-            found = self.table[state[:, :m] + row[:m]]
+            others = np.flatnonzero(row[:m] >= self.width)
+            if len(others):
+                known = row[:m].copy()
+                known[others] = 0
+                found = self.table[state[:, :m] + known]
+                found[:, others] = self.rare(state[:, others], row[others])
+            else:
+                found = self.table[state[:, :m] + row[:m]]
             count[:, :m] += found & 1
             state[:, :m] = found >> 1
         out = np.empty((n, k), np.int64)
@@ -160,15 +193,16 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, sample_docs: int = 128, sample_chars: int = 16_384, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Automata from at most sample_docs texts and sample_chars letters per language; those of the most frequent max_langs languages.
+def fit(labelled: DataFrame, sample_docs: int = 128, sample_chars: int = 16_384, max_langs: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Automata from at most sample_docs texts and sample_chars letters per language; of all languages, or the most frequent max_langs.
 
     The sample is that of the least hashes of the id, one per bucket, so it doesn't depend on order or partitioning. Only
     ids are grouped; the chosen texts, a bounded number, are then read. Equal shares of the texts are taken."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     h = F.xxhash64(F.col(id_col), F.lit(7))
     least = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(sample_docs)).alias("b")).agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("x"), F.count("*").alias("n"))
-    top = [r["lang"] for r in least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    ordered = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
+    top = [r["lang"] for r in (ordered if max_langs is None else ordered.limit(max_langs)).collect()]
     ids = sorted({r["id"] for r in least.where(F.col("lang").isin(top)).select("x.id").collect()}) if top else []
     if not ids:
         return Model({})
@@ -179,7 +213,21 @@ def fit(labelled: DataFrame, sample_docs: int = 128, sample_chars: int = 16_384,
         if any(c.isalpha() for c in r["t"]):
             texts.setdefault(r["lang"], []).append(r["t"])
     share = {k: max(1, sample_chars // len(v)) for k, v in texts.items()}
-    return Model({k: " ".join(t[: 2 * share[k]] for t in v)[: sample_chars] for k, v in texts.items()})
+    model = Model({k: " ".join(t[: 2 * share[k]] for t in v)[: sample_chars] for k, v in texts.items()})
+    model.limits = held_out_bits({k: [t[: 2 * share[k]] for t in v] for k, v in texts.items()}, sample_chars)
+    return model
+
+
+def held_out_bits(texts: dict[str, list[str]], sample_chars: int) -> dict[str, float]:
+    """Bits a letter, by language, that all but the dearest twentieth of its texts cost against the language's other half."""
+    out: dict[str, float] = {}
+    for k, v in texts.items():
+        bits = []
+        for half in (0, 1):
+            model = Model({k: " ".join(v[half::2])[:sample_chars]})
+            bits += [b for _, _, b in model.predict(v[1 - half :: 2]) if b is not None]
+        out[k] = float(np.quantile(bits, 0.95)) if bits else 0.0
+    return out
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, extra: bool = False) -> DataFrame:
@@ -217,6 +265,14 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def reject(docs: DataFrame, model: Model, max_bits: float = 8.0, text_col: str = "text") -> DataFrame:
-    """The rows in a known language, with their own columns: without those that are `und` or cost more than max_bits a letter in every language."""
+    """The rows in a known language, with their own columns: without those that are `und` or cost too much a letter in every language.
+
+    Too much is more than max_bits, or than a quarter above what held-out text of the predicted language costs if that is
+    more; but never as much as letters that the language doesn't have."""
     said = classify(docs, model, text_col=text_col, extra=True)
-    return said.where((F.col("lang_pred") != "und") & (F.col("bits_per_letter") <= max_bits)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    limit = F.lit(max_bits)
+    for k, bits in model.limits.items():
+        own = min(1.25 * bits, 0.97 * float(model.cost[model.langs.index(k)]))
+        if own > max_bits:
+            limit = F.when(F.col("lang_pred") == k, own).otherwise(limit)
+    return said.where((F.col("lang_pred") != "und") & (F.col("bits_per_letter") <= limit)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -59,3 +59,33 @@ def test_odd_rows(spark):
     nothing = langid.fit(docs(spark, []))
     assert langid.classify(df, nothing).where("lang_pred <> 'und'").count() == 0
     assert langid.classify(docs(spark, []), model).count() == 0
+
+
+def test_every_letter_of_the_samples_counts():
+    rng = random.Random(3)
+    han, hangul = [chr(0x4E00 + i) for i in range(3000)], [chr(0xAC00 + i) for i in range(900)]
+    samples = {"ko": "".join(rng.choice(hangul) for _ in range(4000)), "zh": "".join(rng.choice(han) for _ in range(9000)), "xx": "abcab bca" * 20}
+    for dense in (langid.DENSE, 1):
+        whole, langid.DENSE = langid.DENSE, dense
+        model = langid.Model(samples)
+        langid.DENSE = whole
+        texts = [samples["zh"][at : at + 30] + "".join(rng.choice(han + hangul + list("abz \u0416")) for _ in range(40)) for at in range(0, 3000, 100)]
+        segments = [model.code(langid.points(t)) for t in texts]
+        for s, row in zip(segments, model.phrases(segments), strict=True):
+            text = "".join(map(chr, s.tolist()))
+            assert row.tolist() == [longest_matches(text, coded(model, samples[k])) for k in model.langs]
+
+
+def test_languages_of_many_letters_are_kept(spark):
+    rng = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    words = ["".join(rng.choice(han) for _ in range(2)) for _ in range(900)]
+    rows = [(i, "".join(rng.choice(words) for _ in range(120)), "zh", "s", 0) for i in range(200)] + [(1000 + i, " ".join(rng.choice(["the", "river", "stone", "walks"]) for _ in range(60)), "en", "s", 0) for i in range(60)]
+    rows += [(2000 + i, "word number here", f"l{i:03}", "s", 0) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(langid.fit(df).langs) == 72
+    model = langid.fit(df.where("doc_id < 2000 and crc32(cast(doc_id as string)) % 5 <> 0"))
+    left = {r.doc_id for r in langid.reject(df.where("doc_id < 2000"), model).collect()}
+    assert left >= {r[0] for r in rows if r[2] in ("zh", "en")}
+    foreign = spark.createDataFrame([(1, "".join(chr(0xAC00 + rng.randrange(2000)) for _ in range(200)), "zh", "s", 0)], df.schema)
+    assert langid.reject(foreign, model).count() == 0

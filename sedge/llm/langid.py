@@ -197,27 +197,42 @@ def fit(labelled: DataFrame, sample_docs: int = 128, sample_chars: int = 16_384,
     """Automata from at most sample_docs texts and sample_chars letters per language; of all languages, or the most frequent max_langs.
 
     The sample is that of the least hashes of the id, one per bucket, so it doesn't depend on order or partitioning. Only
-    ids are grouped; the chosen texts, a bounded number, are then read. Equal shares of the texts are taken."""
+    ids are grouped; the chosen texts, a bounded number, are then read, each from a hashed place in it. Equal shares of them
+    are taken; what short ones lack comes in equal shares from the others."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     h = F.xxhash64(F.col(id_col), F.lit(7))
     least = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(sample_docs)).alias("b")).agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("x"), F.count("*").alias("n"))
-    ordered = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
-    top = [r["lang"] for r in (ordered if max_langs is None else ordered.limit(max_langs)).collect()]
+    ordered = least.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang")
+    chosen = {r["lang"]: r["texts"] for r in (ordered if max_langs is None else ordered.limit(max_langs)).collect()}
+    top = list(chosen)
     ids = sorted({r["id"] for r in least.where(F.col("lang").isin(top)).select("x.id").collect()}) if top else []
     if not ids:
         return Model({})
-    quota = -(-sample_chars * 4 // sample_docs)
-    got = usable.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(top)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, quota).alias("t")).distinct().collect()
+    # four times the share, for want of letters elsewhere
+    quota = F.create_map(*[F.lit(x) for k, n in chosen.items() for x in (k, -(-sample_chars * 4 // n))])[F.col(lang_col)]
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.greatest(F.lit(1), F.length(text_col) - quota + 1)).cast("int") + 1
+    got = usable.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(top)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(F.col(text_col), place, quota).alias("t")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["id"], r["t"])):
         if any(c.isalpha() for c in r["t"]):
             texts.setdefault(r["lang"], []).append(r["t"])
-    share = {k: max(1, sample_chars // len(v)) for k, v in texts.items()}
-    model = Model({k: " ".join(t[: 2 * share[k]] for t in v)[: sample_chars] for k, v in texts.items()})
-    model.limits = held_out_bits({k: [t[: 2 * share[k]] for t in v] for k, v in texts.items()}, sample_chars)
+    taken = {k: shares(v, sample_chars) for k, v in texts.items()}
+    model = Model({k: " ".join(v) for k, v in taken.items()})
+    model.limits = held_out_bits(taken, sample_chars)
     return model
 
 
+def shares(texts: list[str], chars: int) -> list[str]:
+    """Equal beginnings of the texts, so many that they have the given length, joined by spaces; shorter texts are whole."""
+    room, level = chars - len(texts) + 1, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        level = max(1, room // (len(texts) - i))
+        if n >= level:
+            break
+        room -= n
+    return [t[:level] for t in texts]
+
+
 def held_out_bits(texts: dict[str, list[str]], sample_chars: int) -> dict[str, float]:
     """Bits a letter, by language, that all but the dearest twentieth of its texts cost against the language's other half."""
     out: dict[str, float] = {}

@@ -89,3 +89,14 @@ def test_languages_of_many_letters_are_kept(spark):
     assert left >= {r[0] for r in rows if r[2] in ("zh", "en")}
     foreign = spark.createDataFrame([(1, "".join(chr(0xAC00 + rng.randrange(2000)) for _ in range(200)), "zh", "s", 0)], df.schema)
     assert langid.reject(foreign, model).count() == 0
+
+
+def test_every_chosen_text_teaches_its_share(spark):
+    rows = [(i, "".join(chr(0x4E00 + 40 * i + j // 50) for j in range(2000)) if i else "ab", "zh", "s", 0) for i in range(200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    seen = {(int(c) - 0x4E00) // 40 for c in model.seen if c >= 0x4E00}
+    assert len(seen) > 70 and max(seen) > 190 and min(seen) < 10
+    places = {(int(c) - 0x4E00) % 40 for c in model.seen if c >= 0x4E00}
+    assert len(places) > 20  # not the beginnings alone
+    assert [len(t) for t in langid.shares(["a" * 9, "b" * 100, "c" * 100], 101)] == [9, 45, 45]
+    assert 16_000 < round(2 ** model.cost[0]) <= 16_384

@@ -108,6 +108,26 @@ class Member:
         return self.got[self.body : self.rest + length]
 
 
+def inflated(f, path: str) -> Iterator[bytes]:
+    """The bytes of gzip members one after another, however records lie in them."""
+    left = f.read(1 << 20)
+    while left:
+        inflater = zlib.decompressobj(31)
+        while not inflater.eof:
+            left = left or f.read(1 << 20)
+            if not left:  # the inflater may hold back the last output
+                out = inflater.flush()
+                if not inflater.eof:
+                    raise ValueError(f"a truncated gzip member in {path}")
+                yield out
+                return
+            out = inflater.decompress(left, 1 << 22)
+            left = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+            if out:
+                yield out
+        left = left or f.read(1 << 20)
+
+
 @dataclass
 class Part(InputPartition):
     pieces: list  # (path, [(offset, length)]) or (path, None) for a file without an index
@@ -191,33 +211,31 @@ class WarcReader(DataSourceReader):
                 for offset, length in ranges:
                     yield Member(f.read_at(length, offset))
             return
-        with system.open_input_stream(path, compression=None) as f:
-            if path.endswith(".gz"):  # members one after another, without an index
-                left = b""
-                while True:
-                    inflater, out, fed = zlib.decompressobj(31), [], False
-                    while not inflater.eof:
-                        left = left or f.read(1 << 20)
-                        if not left:
-                            break
-                        fed = True
-                        out.append(inflater.decompress(left))
-                        left = inflater.unused_data
-                    if not fed:
-                        return
-                    yield Member(b"".join(out), False)
-            buffer = b""
+        with system.open_input_stream(path, compression=None) as f:  # records one after another, without an index
+            blocks = inflated(f, path) if path.endswith(".gz") else iter(lambda: f.read(1 << 20), b"")
+            buffer, at = b"", 0
             while True:
-                while (at := buffer.find(b"\r\n\r\n")) < 0:
-                    more = f.read(1 << 20)
-                    if not more:
+                while (end := buffer.find(b"\r\n\r\n", at)) <= at:  # line ends after the last record
+                    if end == at:
+                        at += 4
+                        continue
+                    more = next(blocks, None)
+                    if more is None:
+                        if buffer[at:].strip():
+                            raise ValueError(f"a truncated record in {path}")
                         return
-                    buffer += more
-                need = at + 4 + (_number(headers(buffer[:at]).get("content-length")) or 0) + 4
-                while len(buffer) < need and (more := f.read(max(1 << 20, need - len(buffer)))):
-                    buffer += more
-                yield Member(buffer[:need], False)
-                buffer = buffer[need:]
+                    buffer, at = buffer[at:] + more, 0
+                end += 4 + (_number(headers(buffer[at:end]).get("content-length")) or 0)
+                if len(buffer) < end:
+                    found, size = [buffer[at:]], len(buffer)
+                    while size < end and (more := next(blocks, None)) is not None:
+                        found.append(more)
+                        size += len(more)
+                    buffer, end, at = b"".join(found), end - at, 0
+                    if len(buffer) < end:
+                        raise ValueError(f"a truncated record in {path}")
+                yield Member(buffer[at:end], False)
+                at = end
 
     def read(self, partition: Part):
         for path, ranges in partition.pieces:

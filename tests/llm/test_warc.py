@@ -61,3 +61,20 @@ def test_foreign_files_without_an_index(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(bad)
     with pytest.raises(Exception, match="isn't what its header says"):
         df.collect()
+
+
+def test_members_of_many_records(spark, tmp_path):
+    bodies = [b"body %d " % i * (1 + i * i) + b"\r\n\r\n" * (i % 3) for i in range(60)] + [b"z" * 9_000_000, b"end"]
+    records = [warc.record("response", f"http://x/{i}", "2024-01-01T00:00:00Z", b, warc.digest(b), f"<urn:uuid:{i}>") for i, b in enumerate(bodies)]
+    whole = b"".join(records)
+    for data in (gzip.compress(whole), gzip.compress(whole[:5000]) + gzip.compress(whole[5000:]), b"".join(map(gzip.compress, records))):
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        reader = warc.WarcReader({"path": str(tmp_path), "verify": "true"}, ["payload"])
+        assert [bytes(r[0]) for x in reader.partitions() for r in reader.read(x)] == bodies
+    (tmp_path / "b.warc").write_bytes(whole[:-500])
+    for name, data in (("a.warc.gz", gzip.compress(whole)[:-300]), ("a.warc.gz", gzip.compress(whole[:5000])), ("b.warc", whole[:5000])):
+        for old in tmp_path.iterdir():
+            old.unlink()
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError, match="truncated"):
+            list(row for x in reader.partitions() for row in reader.read(x))

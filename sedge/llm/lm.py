@@ -159,19 +159,21 @@ class Model:
         self.lexicon = lexicon
         self.tables = tables or (np.zeros((ROWS, CLASSES), F32), np.zeros((ROWS, SLOTS), F32))
 
-    def forward(self, symbol, cls, starts):
-        f = features(symbol, starts)
+    def forward(self, f, cls):
         g = by_class(f, cls)
         a, b = self.tables
         p = _softmax(_sum(a, f) + self.lexicon.class_prior)
         q = _softmax(_sum(b, g) + self.lexicon.slot_prior[cls])
-        return f, g, p, q
+        return g, p, q
 
     def log10(self, symbol, cls, slot, starts) -> np.ndarray:
         """log10 probability of each position's class and slot."""
-        _, _, p, q = self.forward(symbol, cls, starts)
-        at = np.arange(len(cls))
-        return np.log10(np.maximum(p[at, cls], 1e-30).astype(float)) + np.log10(np.maximum(q[at, slot], 1e-30).astype(float))
+        out = np.empty(len(cls))
+        for a, b, f in _pieces(features(symbol, starts)):
+            _, p, q = self.forward(f, cls[a:b])
+            at = np.arange(b - a)
+            out[a:b] = np.log10(np.maximum(p[at, cls[a:b]], 1e-30).astype(float)) + np.log10(np.maximum(q[at, slot[a:b]], 1e-30).astype(float))
+        return out
 
 
 class Trainer(Model):
@@ -183,8 +185,12 @@ class Trainer(Model):
         self.had = [np.full(ROWS, 1.0, F32) for _ in tables]
         self.times = [np.zeros(ROWS, F32) for _ in tables]
 
-    def step(self, symbol, cls, slot, starts) -> None:
-        f, g, p, q = self.forward(symbol, cls, starts)
+    def learn(self, symbol, cls, slot, starts) -> None:
+        for a, b, f in _pieces(features(symbol, starts)):
+            self.step(f, cls[a:b], slot[a:b])
+
+    def step(self, f, cls, slot) -> None:
+        g, p, q = self.forward(f, cls)
         at = np.arange(len(cls))
         p[at, cls] -= 1
         q[at, slot] -= 1
@@ -227,12 +233,11 @@ def _batches(vocabulary: Words, texts: Iterator, size: int) -> Iterator[tuple[li
         yield keys, np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
 
 
-def _pieces(n: int, starts: np.ndarray, size: int = 8192):
-    """Ranges of about `size` positions, each with where texts begin in it; a long text is cut, and a cut forgets what was before."""
-    for a in range(0, n, size):
-        b = min(n, a + size)
-        own = starts[(starts >= a) & (starts < b)] - a
-        yield a, b, own if len(own) and own[0] == 0 else np.r_[0, own]
+def _pieces(f: np.ndarray, size: int = 8192) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of at most `size` positions with their features, which were made before, so a cut forgets no history."""
+    for a in range(0, f.shape[1], size):
+        b = min(f.shape[1], a + size)
+        yield a, b, f[:, a:b]
 
 
 def _ship(trainer: Trainer) -> Iterator[tuple[int, int, bytes]]:
@@ -340,8 +345,7 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
             own = words_of(shared_words.value)
             for _, ids, starts in _batches(own, ((None, text) for (text,) in rows_of(batches, "text")), 200_000):
                 symbol, cls, slot, _ = own.look(ids)
-                for a, b, begin in _pieces(len(ids), starts):
-                    trainer.step(symbol[a:b], cls[a:b], slot[a:b], begin)
+                trainer.learn(symbol, cls, slot, starts)
             if any(t.any() for t in trainer.times):
                 context = TaskContext.get()
                 rows = [(t, b, (context.partitionId() if context else 0) % 64, part) for t, b, part in _ship(trainer)]
@@ -390,7 +394,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
         texts = (((doc_id, held), text) for doc_id, held, text in rows_of(batches, "doc_id", "held_out", "text"))
         for keys, ids, starts in _batches(own, texts, 100_000):
             symbol, cls, slot, counted = own.look(ids)
-            log = np.concatenate([model.log10(symbol[a:b], cls[a:b], slot[a:b], begin) for a, b, begin in _pieces(len(ids), starts)])
+            log = model.log10(symbol, cls, slot, starts)
             in_rest, head = slot == SLOTS - 1, counted >= 0
             word_log = np.where(head, np.log10(np.maximum(counted, 0) + 0.1), 0.0)
             log += np.where(in_rest, word_log - rest_log[cls], 0.0)

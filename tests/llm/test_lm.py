@@ -59,3 +59,11 @@ def test_empty_table_and_no_training_rows(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score(docs(spark, [(held, "a b")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
+
+
+def test_a_text_costs_the_same_wherever_it_lies(spark):
+    rng = random.Random(7)
+    text = " ".join(rng.choice(["aa", "ba", "cb", "dd", "ee"]) for _ in range(37))
+    rows = [(i, text) for i in range(480)]  # 18,240 tokens in a row, so that cuts of the matrix work fall within texts
+    got = [r.score for r in lm.score(docs(spark, rows).coalesce(1)).collect()]
+    assert len(got) == 480 and max(got) - min(got) < 1e-4 * abs(min(got))

@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,86 +34,101 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-class ChunkIds(dict):
-    """Ids of texts by a tokenizer that never joins what white space parts: each chunk is encoded once and remembered.
+class Numbers(dict):
+    """Numbers of parts of texts, in the order in which they are met."""
 
-    With `parts`, the tokenizer's own pattern, a chunk of Latin letters is put together from its lower-cased parts, of
-    which there are fewer; other chunks, and those with a special token's marks, are encoded whole. The memories are
-    bounded: beyond `most` entries a new generation begins, and the last one is still looked into."""
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        return n
 
-    #: Latin code points that lower-case alone and are composed already.
-    plain = regex.compile("[\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+class TextIds:
+    """Ids of texts by a tokenizer that lower-cases and parts texts by a pattern, each part a word of its own to it.
+
+    Texts are lower-cased and parted here; the tokenizer's own merges turn a part into ids once, which are remembered.
+    Chunks between white space that hold anything but composed Latin letters, digits and signs (special tokens' marks among
+    them) go through the whole tokenizer, and are remembered likewise. Beyond `most` parts the memory begins anew."""
+
+    #: Latin code points that lower-case alone and are composed already, without the mark that special tokens begin with.
+    PLAIN = "\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f"
+    BLANK = r"\x20\x09-\x0D"
+    WHOLE = "\n"  # before a chunk that is encoded whole; no part holds it
+
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known, self.known_before, self.before = {}, {}, {}
         spec = json.loads(self.tokenizer.to_str())
-        split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = [x for x in steps if x.get("type") == "Split" and x.get("invert")]
         lower = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.parts = regex.compile(split[0]["pattern"]["Regex"]) if lower and len(split) == 1 else None
-
-    def _whole(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_parts(self, new: list[str]) -> None:
-        """Ids of parts, each of which is one word to the tokenizer, so they are encoded together and told apart by word."""
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        words, ids = np.asarray(got.word_ids), np.asarray(got.ids, "<u4")
-        starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]).tolist()
-        if len(starts) != len(new):
-            for x in new:
-                self.known[x] = self._whole(x)
-            return
-        raw = ids.tobytes()
-        for x, i, j in zip(new, starts, [*starts[1:], len(ids)], strict=True):
-            self.known[x] = raw[4 * i : 4 * j]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Ids of chunks that aren't remembered."""
-        known, older, split, new = self.known, self.known_before, [], {}
-        for chunk in chunks:
-            found = self.before.get(chunk)
-            if found is None:
-                text = chunk.decode()
-                if not self.parts or not self.plain.fullmatch(text):
-                    found = self._whole(text)
-                else:
-                    own = self.parts.findall(text.lower())
-                    split.append((chunk, own))
-                    for x in own:
-                        if x not in known and x not in new:
-                            if x in older:
-                                known[x] = older[x]
-                            else:
-                                new[x] = None
-                    continue
-            self[chunk] = found
-        if new:
-            self._learn_parts(list(new))
-        for chunk, own in split:
-            self[chunk] = b"".join([known[x] for x in own])
-
-    def encode(self, text: str | None, end: int | None) -> np.ndarray:
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-        if len(self.known) > self.most:
-            self.known, self.known_before = {}, self.known
-        chunks = (text or "").encode().split()
-        found = list(map(self.get, chunks))
-        if None in found:
-            self.learn({c for c, x in zip(chunks, found, strict=True) if x is None})
-            found = [x if x is not None else self[c] for c, x in zip(chunks, found, strict=True)]
-        raw = b"".join(found)
-        return np.frombuffer(raw + np.uint32(end).tobytes() if end is not None else raw, "<u4")
-
-
-def chunk_ids(path: str) -> ChunkIds:
+        own = lower and len(split) == 1 and steps[1:] and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space")
+        self.parts = self._latin(split[0]["pattern"]["Regex"]) if own else None
+        self.strange = re.compile(f"[^{self.PLAIN}{self.BLANK}]" if own else f"[^{self.BLANK}]")
+        plain = f"[{self.PLAIN}]*+" if own else ""
+        self.chunk = regex.compile(f"(?<![^{self.BLANK}])({plain}{self.strange.pattern}[^{self.BLANK}]*+)")
+        # byte-level letters: bytes that print stand for themselves, the others for the code points from 256 on
+        other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letters = {b: 256 + i for i, b in enumerate(other)}
+        self._forget()
+
+    @staticmethod
+    def _latin(pattern: str) -> re.Pattern:
+        """The pattern for lower-cased plain texts, their letters and digits listed."""
+        known = sorted({x for c in map(chr, range(0x250)) for x in c.lower()})
+        letters, digits = (re.escape("".join(c for c in known if regex.match(rf"\p{{{k}}}", c))) for k in "LN")
+        return re.compile(re.sub(r"\\p\{([LN])\}", lambda m: letters if m[1] == "L" else digits, pattern))
+
+    def _forget(self) -> None:
+        self.numbers, self.ids, self.ends = Numbers(), array("I"), array("q", [0])
+
+    def _split(self, text: str | None) -> list[str]:
+        """Parts of a text, and chunks that are encoded whole."""
+        if not text:
+            return []
+        if not self.strange.search(text):
+            return self.parts.findall(text.lower())
+        out: list[str] = []
+        for i, own in enumerate(self.chunk.split(text)):
+            if i % 2:
+                out.append(self.WHOLE + own)
+            elif self.parts:
+                out += self.parts.findall(own.lower())
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        ids, ends, merged = self.ids, self.ends, self.tokenizer.model.tokenize
+        for x in new:
+            if x[0] == self.WHOLE:
+                ids.extend(self.tokenizer.encode(x[1:], add_special_tokens=False).ids)
+            else:
+                ids.extend([t.id for t in merged(x if x.isascii() else x.encode().decode("latin-1").translate(self.letters))])
+            ends.append(len(ids))
+
+    def encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
+        """Ids of each text, with the end id after them."""
+        if len(self.numbers) > self.most:
+            self._forget()
+        before = len(self.numbers)
+        last = [] if end is None else [-1]
+        split = [np.fromiter(chain(map(self.numbers.__getitem__, own), last), np.int64, len(own) + len(last)) for own in map(self._split, texts)]
+        self._learn(list(islice(self.numbers, before, None)))
+        ids, ends, out = np.frombuffer(self.ids, "<u4"), np.frombuffer(self.ends, np.int64), []
+        for own in split:
+            start = np.where(own < 0, 0, ends[own])
+            n = np.where(own < 0, 1, ends[own + 1] - start)
+            place = np.cumsum(n)
+            found = np.empty(0, "<u4") if not len(own) else ids[np.repeat(start - place + n, n) + np.arange(place[-1])] if len(ids) else np.zeros(place[-1], "<u4")
+            if last:
+                found[-1] = end
+            out.append(found)
+        return out
+
+
+def text_ids(path: str) -> TextIds:
     """One per Python worker, which serves many tasks."""
-    return worker_cache(("packing", path), lambda: ChunkIds(path))
+    return worker_cache(("packing", path), lambda: TextIds(path))
 
 
 class Packer:
@@ -214,7 +232,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
-        ids_of, packer = chunk_ids(tokenizer), Packer(max_tokens, max_segments, max_loss, window)
+        ids_of, packer = text_ids(tokenizer), Packer(max_tokens, max_segments, max_loss, window)
         rows: list = []
 
         def add(sequences) -> None:
@@ -227,8 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 sequence += 1
 
         for got in batches:
-            for doc_id, text, first in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                ids = ids_of.encode(text, end_id)
+            for doc_id, ids, first in zip(got.column("doc_id").to_pylist(), ids_of.encode(got.column("text").to_pylist(), end_id), got.column("first").to_pylist(), strict=True):
                 add(packer.feed((doc_id, ids, max(0, first or 0)), len(ids), max(0, first or 0)))
             if rows:
                 yield batch(SCHEMA, list(zip(*rows, strict=True)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import cut
+from sedge.llm.common import batch, cut
 
 SALTS = 16
 
@@ -19,13 +21,53 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", most:
     return salted.join(spread, [key, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of these links that aren't the least of their component, and the least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def contracted(edges: DataFrame, links: int) -> DataFrame:
+    """u, v: the links u, v of each partition, so many at a time, as stars around the least node of what they connect."""
+    fields = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        own, n = [], 0
+        for got in batches:
+            own.append((got.column("u").to_numpy(), got.column("v").to_numpy()))
+            n += len(own[-1][0])
+            if n >= links:
+                yield batch(fields, [*stars(*map(np.concatenate, zip(*own, strict=True)))])
+                own, n = [], 0
+        if n:
+            yield batch(fields, [*stars(*map(np.concatenate, zip(*own, strict=True)))])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, most: int = 60, links: int = 500_000) -> DataFrame:
     """edges: a, b (long, not null) -> node, root: the least node of each node's component, of all nodes in edges that differ.
 
-    Each round every node links its greater neighbours, then its smaller ones, to the least it knows; stars remain after
+    Each partition's links become stars first. If no more than `links` are left, which is counted, one task joins them.
+    Else, each round every node links its greater neighbours, then its smaller ones, to the least it knows; stars remain after
     about log2 of the longest path. Rounds are written to the shared folder. Minima are pre-aggregated, and a hub's links
     stay on the links' side of the join."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    now = cut(contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), max(links, 1)).distinct(), "components")
+    if now.limit(links + 1).count() <= links:
+        joined = cut(contracted(now.coalesce(1), links + 1), "components").select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     mark = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,5 +84,5 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    joined = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())

@@ -4,15 +4,19 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two sets
 least a threshold. The result is exact (but for collisions of 64-bit hashes within one pair of documents).
 
 1. Equal sets are one class. The rest works on classes.
-2. Blocks. Sets that link differ in at most d elements (a bound by their sizes). The hash space is cut into more than d
-   parts; by pigeonhole a part that isn't empty must be equal in both, so its hash is a key they share. Unlike a single
-   shingle, such a key isn't shared by documents that have but a passage in common. Keys are grouped, each group links its
-   members to its least one, and components of these links are blocks: no linked pair is in two of them.
+2. Blocks. Sets that link differ in at most d elements (a bound by their sizes). The hash space is cut into d + c parts;
+   each element in which they differ spoils one, so at least c parts are equal in both, and their hashes are keys they
+   share. Sets with fewer shared keys than that link with nothing and go, with all their keys, and then those that only
+   shared keys with them: what have but a passage in common share a key here and there. Of the rest each key's group links
+   its members to its least one, and components of these links are blocks: no linked pair is in two of them.
 3. In every block, T-occurrence search over inverted lists: a set asks for those that hold at least T of its elements.
    The T - 1 or fewer longest lists are put aside, the short ones are heap-merged, and sets found often enough are
    probed for in the long lists by binary search. Sets already known to be connected aren't probed.
 4. Blocks too large for one task are searched in pieces: those linked to a pivot are connected; the others are the
    queries, asked in batches against all members of the block in chunks.
+
+Hot keys: a task sends a key's first set of a buffer, and links its others to that, so a group of near copies reaches the
+shuffle of keys as a row for each buffer.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.common import batch, cut, rows_of, small_batches, worker_cache, words
@@ -64,12 +68,13 @@ def shingles(text: str | None, k: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
-def identity(own: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set, as signed integers; None for an empty one."""
+def identity(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, the first of them cut to some bits, as signed integers; None for an empty one."""
     if not len(own):
         return None, None
     a, b = mix(own ^ U(0x5ED6E)).sum(dtype=U), mix(own + U(0x9E3779B97F4A7C15)).sum(dtype=U)
-    return tuple(int(x) for x in mix(np.array([a + U(len(own)), b], U)).view(np.int64))
+    a, b = mix(np.array([a + U(len(own)), b], U))
+    return tuple(int(x) for x in np.array([a >> U(64 - bits), b], U).view(np.int64))
 
 
 class Rule:
@@ -92,34 +97,63 @@ class Rule:
         return (100 - self.percent) * (n + 100 * n // self.percent) // (100 + self.percent)
 
 
+SHORT = 1 << 14  # the band of sets with so many empty parts that nothing is known of the others
+
+
 class Keys:
     """The keys of step 2. Sizes are banded so that partners are in one band or neighbouring ones; edges are where bands begin."""
 
     def __init__(self, percent: int):
         self.rule, self.edges = Rule(percent), [1]
 
-    def of(self, own: np.ndarray) -> np.ndarray:
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and of each its band << 16 | the least number of the band's keys that a linked set shares."""
         n = len(own)
         while self.edges[-1] <= n:
             self.edges.append(100 * self.edges[-1] // self.rule.percent + 1)
         at = int(np.searchsorted(self.edges, n, "right")) - 1
         low = int(np.searchsorted(self.edges, max(1, self.rule.least_size(n)), "right")) - 1
-        out, short = [], False
+        out, tags, short = [], [], False
         for i in range(low, at + 1):
             d = self.rule.differ(self.edges[i + 1] - 1)
             if not d:
                 continue
-            parts = U(d + 3 + d // 25)
+            same = 3 + d // 8
+            parts = U(d + same)
             place = (own >> U(8)) % parts
             order = np.argsort(place, kind="stable")
             place = place[order]
             first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            short |= len(first) <= d
+            least = same - (d + same - len(first))  # empty parts may be among the equal ones
+            short |= least < 1
             total = np.add.reduceat(mix(own[order]), first)
             out.append(mix(total + place[first] * _A + U((i + 1) * int(_B) % 2**64)))
-        if short:  # too many empty parts: two such sets share one of their least elements
+            tags.append(np.full(len(first), i << 16 | min(max(least, 1), 0xFFFF)))
+        if short:  # such sets share one of their least elements
             out.append(mix(own[: n - self.rule.least_size(n) + 1] ^ _A))
-        return np.concatenate(out) if out else own[:0]
+            tags.append(np.full(len(out[-1]), SHORT << 16 | 1))
+        return (np.concatenate(out), np.concatenate(tags)) if out else (own[:0], np.zeros(0, np.int64))
+
+
+def combined(keys: np.ndarray, sets: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows key, set, count << 32 | tag: each key once, with its first set, which stands for the others that have it.
+
+    These get a key of that set and band instead, with a count of such keys. A set that stands for others connects them,
+    so it must stay: it needs no shared keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, sets, tags = keys[order], sets[order], tags[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[first, len(keys)])
+    lead = np.repeat(sets[first], size)
+    other = lead != sets
+    stands = np.logical_or.reduceat(other, first)
+    pairs, n = np.unique(np.stack([sets[other], lead[other], tags[other]], 1), axis=0, return_counts=True)
+    leads = np.unique(np.stack([lead[other], tags[other] >> 16 << 16], 1), axis=0)
+    key = lambda of, tag: mix(mix(of.astype(U)) + (tag >> 16).astype(U) * _A).view(np.int64)
+    info = tags[first] >> 16 << 16
+    info = np.where(stands, info, tags[first]) | 1 << 32
+    return (np.concatenate([keys[first].view(np.int64), key(pairs[:, 1], pairs[:, 2]), key(leads[:, 0], leads[:, 1])]),
+            np.concatenate([sets[first], pairs[:, 0], leads[:, 0]]), np.concatenate([info, n.astype(np.int64) << 32 | pairs[:, 2], leads[:, 1] | 1 << 32]))
 
 
 class Index:
@@ -210,13 +244,14 @@ def _arrays(column: list) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in column]
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 500_000, pivots: int = 8) -> DataFrame:
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 150_000, pivots: int = 8, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every row.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own id. Equal sets are
     linked whatever their size. Rows that share an id are linked as texts of their own, and each row gives a row. A row
     whose id is null counts, and a component of such rows alone has the id null. Extra columns are ignored; an empty
     table gives no rows. block_elements: shingles of a block that one task searches; larger ones are searched in pieces.
+    bits: of the first hash that names a set, fewer in tests; sets in which it is equal are named by the second.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -227,47 +262,28 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
             rows = []
             for doc_id, text in rows_of([got], "doc_id", "text"):
                 own = shingles(text, k)
-                rows.append((doc_id, len(own), *identity(own)))
+                rows.append((doc_id, len(own), *identity(own, bits)))
             if rows:
                 yield batch(fields, list(zip(*rows, strict=True)))
 
     sets = cut(source.mapInArrow(classes, "doc_id long, n_shingles long, sid long, sid2 long"), "jaccard-sets")
-    own = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi")), "jaccard-classes")
-    if not own.where("lo <> hi").isEmpty():
-        raise RuntimeError("two different sets have one 64-bit hash")
-    key_fields = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen = Keys(percent), set()
-        for got in batches:
-            found, ids, n = [], [], 0
-            for (text,) in rows_of([got], "text"):
-                x = shingles(text, k)
-                sid = identity(x)[0]
-                if len(x) and sid not in seen:
-                    seen.add(sid)
-                    found.append(keys.of(x))
-                    ids.append(np.full(len(found[-1]), sid, np.int64))
-                    n += len(found[-1])
-                    if n > 200_000:
-                        yield batch(key_fields, [np.concatenate(found).view(np.int64), np.concatenate(ids)])
-                        found, ids, n = [], [], 0
-            if n:
-                yield batch(key_fields, [np.concatenate(found).view(np.int64), np.concatenate(ids)])
-            if len(seen) > 1_000_000:
-                seen.clear()
+    by_name = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"))
+    own = cut(by_name, "jaccard-classes")
+    clash = frozenset(r["sid"] for r in own.where("lo <> hi").select("sid").collect())  # of n sets about n * n / 2**65
+    if clash:
+        sets = sets.withColumn("sid", F.when(F.col("sid").isin([*clash]), F.col("sid2")).otherwise(F.col("sid")))
+        own = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi")), "jaccard-classes")
+        if not own.where("lo <> hi").isEmpty():
+            raise RuntimeError("two different sets have one 128-bit hash")
+
+    def name(x: np.ndarray) -> int | None:
+        a, b = identity(x, bits)
+        return b if a in clash else a
 
     if percent == 100:
         merged = None
     else:
-        keys = source.select("text").mapInArrow(keyed, "key long, sid long")
-        # the least member of each key's group, then a link to it from each other member
-        from pyspark.sql import Window
-
-        least = F.min("sid").over(Window.partitionBy("key"))
-        edges = keys.withColumn("least", least).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")).distinct()
-        blocks = cut(components(edges), "jaccard-blocks").select(F.col("node").alias("sid"), F.col("root").alias("block"))
-        merged = _search(source, own, blocks, k, percent, block_elements, pivots)
+        merged = _search(source, own, _blocks(source, k, percent, name), k, percent, block_elements, pivots, name)
     if merged is not None:
         linked = components(merged)
         named = linked.withColumnRenamed("node", "sid").join(own.select("sid", "rep"), "sid")
@@ -279,7 +295,46 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     return lookup(sets, of, "sid").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _search(source: DataFrame, own: DataFrame, blocks: DataFrame, k: int, percent: int, block_elements: int, pivots: int) -> DataFrame:
+def _blocks(source: DataFrame, k: int, percent: int, name) -> DataFrame:
+    """sid, block of the sets that may link with others."""
+    fields = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("info", pa.int64())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, seen, rows, n = Keys(percent), set(), [], 0
+        for got in batches:
+            for (text,) in rows_of([got], "text"):
+                x = shingles(text, k)
+                sid = name(x)
+                if len(x) and sid not in seen:
+                    seen.add(sid)
+                    own, tags = keys.of(x)
+                    rows.append((own, np.full(len(own), sid, np.int64), tags))
+                    n += len(own)
+                    if n > 400_000:
+                        yield batch(fields, [*combined(*map(np.concatenate, zip(*rows, strict=True)))])
+                        rows, n = [], 0
+            if len(seen) > 200_000:
+                seen.clear()
+        if n:
+            yield batch(fields, [*combined(*map(np.concatenate, zip(*rows, strict=True)))])
+
+    keys = source.select("text").mapInArrow(keyed, "key long, sid long, info long")
+    w = Window.partitionBy("key").orderBy("sid")
+    members = keys.select("sid", "info", F.first("sid").over(w).alias("to"), F.lag("sid").over(w).alias("same"), F.max("sid").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
+    members = members.where("to <> last and (same is null or same <> sid)")  # keys of several sets, each set once
+    tag = F.col("info").bitwiseAND(F.lit(0xFFFFFFFF))
+    found = members.groupBy("sid", "to", F.shiftright(tag, 16).alias("band")).agg(F.sum(F.shiftright("info", 32)).alias("n"), F.min(tag.bitwiseAND(F.lit(0xFFFF))).alias("least"))
+    found = cut(found, "jaccard-keys").withColumns({"group": F.xxhash64("to", "band"), "own": F.xxhash64("sid", "band")}).select("sid", "own", "group", "n", "least")
+    for i in range(2):
+        if i:  # keys shared only with sets that went
+            several = found.groupBy("group").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("group")
+            found = cut(lookup(found, several, "group", "inner"), "jaccard-keys")
+        enough = found.groupBy("own").agg(F.sum("n").alias("total"), F.min("least").alias("need")).where("total >= need").select("own")
+        found = cut(lookup(found, enough, "own", "inner"), "jaccard-keys")
+    return cut(components(found.select(F.col("sid").alias("a"), F.col("group").alias("b"))), "jaccard-blocks").select(F.col("node").alias("sid"), F.col("root").alias("block"))
+
+
+def _search(source: DataFrame, own: DataFrame, blocks: DataFrame, k: int, percent: int, block_elements: int, pivots: int, name) -> DataFrame:
     """a, b: links that connect the classes of every block."""
     members = cut(blocks.join(own, "sid").select("sid", "block", "rep", "n"), "jaccard-members")
     sizes = members.groupBy("block").agg(F.sum("n").alias("elements"))
@@ -294,7 +349,7 @@ def _search(source: DataFrame, own: DataFrame, blocks: DataFrame, k: int, percen
             rows, n = [], 0
             for sid, block, elements, text in rows_of([got], "sid", "block", "elements", "text"):
                 x = shingles(text, k)
-                if identity(x)[0] == sid:
+                if name(x) == sid:
                     rows.append((block, sid, elements > block_elements, x.tobytes()))
                     n += len(x)
                     if n > 1_000_000:

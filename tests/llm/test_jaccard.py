@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sedge.llm import jaccard
+from sedge.llm.components import components
 from tests.llm.helpers import docs, edge_rows, words
 
 
@@ -46,7 +47,7 @@ def near_copies(seed=1):
 @pytest.mark.parametrize("percent", [60, 85, 100])
 def test_against_brute_force(spark, percent):
     rows = near_copies() + [(500 + (i or 0), t) for i, t in edge_rows()]
-    got = jaccard.link(docs(spark, rows), percent=percent).collect()
+    got = jaccard.link(docs(spark, rows), k=4, percent=percent).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, percent=percent)
 
 
@@ -58,7 +59,7 @@ def test_large_blocks_in_pieces(spark):
         for _ in range(rng.randrange(0, 3)):
             own[rng.randrange(80)] = f"e{rng.randrange(9)}"
         rows.append((1000 + i, " ".join(own)))
-    got = jaccard.link(docs(spark, rows), percent=85, block_elements=300, pivots=2).collect()
+    got = jaccard.link(docs(spark, rows), k=4, percent=85, block_elements=300, pivots=2).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
@@ -73,17 +74,74 @@ def test_search_is_exact_by_heap_and_by_sort():
                 assert {index.ids[c] for c in index.linked(s)} == want
 
 
-def test_keys_lose_no_link():
-    rng = np.random.default_rng(1)
-    keys = jaccard.Keys(85)
+def linked_pairs(rng, percent, longest=300):
     for _ in range(400):
-        n = int(rng.integers(4, 300))
+        n = int(rng.integers(4, longest))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        keep = a[rng.random(len(a)) > rng.random() * 0.12]
+        keep = a[rng.random(len(a)) > rng.random() * (100 - percent) / 120]
         b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 12))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if len(b) and both and len(a) + len(b) > 2 * both and 100 * both >= 85 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(keys.of(a), keys.of(b)))
+        if len(b) and both and len(a) + len(b) > 2 * both and 100 * both >= percent * (len(a) + len(b) - both):
+            yield a, b
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_linked_sets_share_the_keys_they_need(percent):
+    keys, n = jaccard.Keys(percent), 0
+    for a, b in linked_pairs(np.random.default_rng(1), percent):
+        (x, p), (y, q) = keys.of(a), keys.of(b)
+        bands = {}
+        for own, tags in ((x, p), (y, q)):
+            for key, tag in zip(own.tolist(), tags.tolist(), strict=True):
+                bands.setdefault(tag >> 16, []).append((key, tag & 0xFFFF))
+        ok = False
+        for found in bands.values():
+            names = [k for k, _ in found]
+            shared = len(names) - len(set(names))
+            ok |= shared > 0 and shared >= max(t for _, t in found)
+        assert ok
+        n += 1
+    assert n > 50
+
+
+def test_hot_keys_are_combined():
+    keys, sets, tags = np.repeat(np.arange(5, dtype=np.uint64), 1000), np.tile(np.arange(1000), 5), np.full(5000, 3 << 16 | 2)
+    key, sid, info = jaccard.combined(np.r_[keys, np.uint64(99)], np.r_[sets, 7], np.r_[tags, 3 << 16 | 2])
+    assert len(key) == 6 + 999 + 1 and sorted(sid.tolist())[:6] == [0] * 6
+    alone = dict(zip(key.tolist(), info.tolist(), strict=True))[99]
+    assert alone == 1 << 32 | 3 << 16 | 2
+    assert {i >> 32 for i, s in zip(info.tolist(), sid.tolist(), strict=True) if s not in (0, 7)} == {5}
+
+
+def test_buffers_and_tasks_change_nothing(spark):
+    rows = near_copies(3) * 2 + [(900 + i, t) for i, (_, t) in enumerate(near_copies(3))]
+    whole = brute(rows, 5, 80)
+    for n in (1, 9):
+        assert sorted(map(tuple, jaccard.link(docs(spark, rows).repartition(n)).collect()), key=str) == whole
+
+
+def test_equal_first_hashes(spark):
+    rows = near_copies(4)
+    got = jaccard.link(docs(spark, rows), k=4, percent=85, bits=3).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_components_in_rounds_and_at_once(spark):
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(300, 340)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    at_once, rounds = ({tuple(r) for r in components(df, links=n).collect()} for n in (1000, 1))
+    root = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert at_once == rounds == {(n, r) for n, r in root.items() if any(root[a] == r and a != b for a, b in pairs)}
+
+
+def test_extra_columns(spark):
+    df = docs(spark, near_copies(4))
+    clash = df.withColumnRenamed("lang", "sid").withColumnRenamed("source", "component_id")
+    assert sorted(map(tuple, jaccard.link(clash).collect())) == sorted(map(tuple, jaccard.link(df).collect()))
 
 
 def test_empty_table(spark):

@@ -1,17 +1,20 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(slot | class, history) * P(word | rest of class). A word's class is its ending
-(the most frequent endings have one each, the others share one, the end of a text has its own). A class has slots for its
-most frequent words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word
-included, so the model is a distribution. Both softmaxes are log-linear in hashed features of the history: the last word,
-skips to the second and third last, and the last two together; rare words of the history count by their ending. They
-start from the counts, so that features only learn what the history adds.
+P(word | history) = P(class | history) P(cell | class, history) P(slot | cell, history) P(word | rest of the cell), with 16
+classes of 16 cells of 16 slots. A word's cell is its ending (the most frequent endings have one each, the others share
+one, the end of a text has its own); endings that end alike are in one class. A cell has slots for its most frequent
+words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word included, so the
+model is a distribution. All three softmaxes are log-linear in hashed features of the history: the last word, skips to the
+second and third last, and the last two together; rare words of the history count by their ending. They start from the
+counts, so that features only learn what the history adds.
 
 Training: the training documents are dealt into rounds. In each, every task starts from the shared parameters, makes
 gradient steps (scaled by row) on its documents of the round in batches, and gives back the rows it touched; rows are
 averaged by how often they were touched, in two levels of aggregation. Parameters have a fixed size; counts, and what the
 tasks give back, follow the corpus. Counts of frequent words, a bounded number, are sent to the tasks; those of all
 others are joined by word.
+
+A text is scored by itself: its features know nothing of its neighbours, and sums over a position's rows go in one order.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_cache, words
 
 END = b"\n"  # no word holds white space
-CLASSES, SLOTS, ROWS = 32, 16, 1 << 15
+WAYS, ROWS = 16, 1 << 15  # branches of each softmax; rows of its table
+CELLS = WAYS * WAYS
+USED = (4, 3, 2)  # features of each softmax
 HEAD, CONTEXT = 131_072, 8_192
 BLOCK = 2048
 F32 = np.float32
@@ -44,17 +49,16 @@ class Lexicon:
 
     head: dict[bytes, int]
     floor: int  # the least level of counts in the head
-    endings: dict[bytes, int]
+    endings: dict[bytes, int]  # cells
     slots: dict[bytes, int]
-    class_prior: np.ndarray
-    slot_prior: np.ndarray
-    rest_total: np.ndarray  # by class: training tokens outside the slots + 0.1 * (their types + 1)
+    priors: tuple[np.ndarray, np.ndarray, np.ndarray]  # of classes, of cells by class, of slots by cell
+    rest_total: np.ndarray  # by cell: training tokens outside the slots + 0.1 * (their types + 1)
     tokens: int
     types: int
     context: frozenset = field(default_factory=frozenset)
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def class_of(self, word: bytes) -> int:
+    def cell_of(self, word: bytes) -> int:
         return 0 if word == END else self.endings.get(word[-2:], 1)
 
 
@@ -68,31 +72,31 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.words: list[bytes] = []
-        self.symbol, self.cls, self.slot, self.count = array("I"), array("B"), array("B"), array("q")
+        self.symbol, self.cell, self.slot, self.count = array("I"), array("B"), array("B"), array("q")
         self.ends: dict[bytes, tuple[int, int]] = {}
 
     def __missing__(self, word: bytes) -> int:
         x, end = self.lexicon, word[-2:]
         known = self.ends.get(end)
         if known is None:
-            known = self.ends[end] = x.class_of(word), zlib.crc32(end, 0x5ED6E)
+            known = self.ends[end] = x.cell_of(word), zlib.crc32(end, 0x5ED6E)
         count = x.head.get(word)
-        self.cls.append(known[0])
+        self.cell.append(known[0])
         if count is None:
             self.count.append(-1)
-            self.slot.append(SLOTS - 1)
+            self.slot.append(WAYS - 1)
             self.symbol.append(known[1])
         else:
             self.count.append(count)
-            self.slot.append(x.slots.get(word, SLOTS - 1))
+            self.slot.append(x.slots.get(word, WAYS - 1))
             self.symbol.append(zlib.crc32(word) if word in x.context else known[1])
         self[word] = i = len(self.words)
         self.words.append(word)
         return i
 
     def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, classes, slots and counts (-1: not among the most frequent) of words by number."""
-        return tuple(np.frombuffer(a, t)[ids] for a, t in ((self.symbol, np.uint32), (self.cls, np.uint8), (self.slot, np.uint8), (self.count, np.int64)))
+        """Symbols, cells, slots and counts (-1: not among the most frequent) of words by number."""
+        return tuple(np.frombuffer(a, t)[ids] for a, t in ((self.symbol, np.uint32), (self.cell, np.uint8), (self.slot, np.uint8), (self.count, np.int64)))
 
     def of(self, text: str | None) -> np.ndarray:
         own = words(text)
@@ -122,98 +126,77 @@ def features(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
         past.append(x)
     f = [_mix(past[k] * np.uint32(2 * k + 3) + np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) for k in range(3)]
     f.append(_mix(f[0] ^ (past[1] * np.uint32(0x85EBCA6B))))
-    return np.stack(f) % np.uint32(ROWS)
+    return np.stack(f)
 
 
-def by_class(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Features of the second softmax: the last word and the skips, each with the class."""
-    return _mix(f[:3] * np.uint32(CLASSES) + cls.astype(np.uint32) + np.uint32(77)) % np.uint32(ROWS)
+def rows_of_level(f: np.ndarray, level: int, cell: np.ndarray) -> np.ndarray:
+    """Rows of the features in a softmax's table: those of the second go with the class, those of the third with the cell."""
+    if not level:
+        return f % np.uint32(ROWS)
+    of = cell.astype(np.uint32) // WAYS if level == 1 else cell.astype(np.uint32) + np.uint32(CELLS)
+    return _mix(f[: USED[level]] * np.uint32(2 * CELLS) + of + np.uint32(77)) % np.uint32(ROWS)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place; priors are logarithms of probabilities, so nothing overflows below hundreds of nats of evidence."""
     np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    z *= (1 / (z @ np.ones(z.shape[1], F32)))[:, None]
+    z /= z.sum(1, keepdims=True)
     return z
 
 
-def _sum(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    return z
-
-
-def _sums(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows, n[i] of them each."""
-    first = np.cumsum(np.r_[0, n[:-1]])
-    if n.min() > 16:
-        ones = np.ones(int(n.max()), F32)
-        return np.stack([ones[:k] @ rows[i : i + k] for i, k in zip(first.tolist(), n.tolist(), strict=True)])
-    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(F32)  # two columns at a time
-
-
 class Model:
-    def __init__(self, lexicon: Lexicon, tables: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, lexicon: Lexicon, tables: tuple[np.ndarray, ...] | None = None):
         self.lexicon = lexicon
-        self.tables = tables or (np.zeros((ROWS, CLASSES), F32), np.zeros((ROWS, SLOTS), F32))
-
-    def forward(self, f, cls):
-        g = by_class(f, cls)
-        a, b = self.tables
-        p = _softmax(_sum(a, f) + self.lexicon.class_prior)
-        q = _softmax(_sum(b, g) + self.lexicon.slot_prior[cls])
-        return g, p, q
-
-    def log10(self, symbol, cls, slot, starts) -> np.ndarray:
-        """log10 probability of each position's class and slot."""
-        out = np.empty(len(cls))
+        self.tables = tables or tuple(np.zeros((ROWS, WAYS), F32) for _ in USED)
+
+    def forward(self, f: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each softmax, the rows of its features and the probabilities."""
+        for level, prior in enumerate(self.lexicon.priors):
+            rows, table = rows_of_level(f, level, cell), self.tables[level]
+            z = table[rows[0]]
+            for r in rows[1:]:
+                z += table[r]
+            z += prior if not level else prior[cell // WAYS] if level == 1 else prior[cell]
+            yield rows, _softmax(z)
+
+    def log10(self, symbol, cell, slot, starts) -> np.ndarray:
+        """log10 probability of each position's class, cell and slot."""
+        out = np.zeros(len(cell))
         for a, b, f in _pieces(features(symbol, starts)):
-            _, p, q = self.forward(f, cls[a:b])
-            at = np.arange(b - a)
-            out[a:b] = np.log10(np.maximum(p[at, cls[a:b]], 1e-30).astype(float)) + np.log10(np.maximum(q[at, slot[a:b]], 1e-30).astype(float))
+            at, own = np.arange(b - a), cell[a:b]
+            for (_, p), target in zip(self.forward(f, own), (own // WAYS, own % WAYS, slot[a:b]), strict=True):
+                out[a:b] += np.log10(np.maximum(p[at, target], 1e-30).astype(float))
         return out
 
 
 class Trainer(Model):
     """Gradient steps, scaled per row by the gradients it has had."""
 
-    def __init__(self, lexicon: Lexicon, tables, rate: float = 0.4):
+    def __init__(self, lexicon: Lexicon, tables, rate: float = 0.4, size: int = 16_384):
         super().__init__(lexicon, tuple(t.copy() for t in tables))
-        self.rate = rate
-        self.had = [np.full(ROWS, 1.0, F32) for _ in tables]
+        self.rate, self.size = rate, size
+        self.had = [np.full(ROWS, 1.0) for _ in tables]
         self.times = [np.zeros(ROWS, F32) for _ in tables]
 
-    def learn(self, symbol, cls, slot, starts) -> None:
-        for a, b, f in _pieces(features(symbol, starts)):
-            self.step(f, cls[a:b], slot[a:b])
-
-    def step(self, f, cls, slot) -> None:
-        g, p, q = self.forward(f, cls)
-        at = np.arange(len(cls))
-        p[at, cls] -= 1
-        q[at, slot] -= 1
-        for t, rows, gradient in ((0, f, p), (1, g, q)):
+    def learn(self, symbol, cell, slot, starts) -> None:
+        for a, b, f in _pieces(features(symbol, starts), self.size):
+            self.step(f, cell[a:b], slot[a:b])
+
+    def step(self, f, cell, slot) -> None:
+        at = np.arange(len(cell))
+        for level, ((rows, p), target) in enumerate(zip(self.forward(f, cell), (cell // WAYS, cell % WAYS, slot), strict=True)):
+            p[at, target] -= 1
             flat = rows.ravel().astype(np.uint16)
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            times = np.diff(np.r_[first, len(flat)])
-            # rows met once need no sum; few are met very often, which a product with ones sums fastest
-            for met in (times == 1, (times > 1) & (times <= 16), times > 16):
-                n = times[met]
-                if len(n):
-                    own = gradient[order[np.repeat(met, times)] % len(cls)]
-                    self._move(t, flat[first[met]].astype(np.int64), own if n[-1] == 1 and n.max() == 1 else _sums(own, n), n)
-
-    def _move(self, t: int, rows: np.ndarray, total: np.ndarray, times) -> None:
-        """A step of these rows, each once, by their gradients."""
-        had = self.had[t][rows] + np.einsum("ij,ij->i", total, total)
-        self.had[t][rows] = had
-        total *= (-self.rate / np.sqrt(had))[:, None]
-        self.tables[t][rows] += total
-        self.times[t][rows] += times
+            met = flat[first].astype(np.int64)
+            gradient = np.add.reduceat(p[order % len(cell)].view(np.complex64), first, axis=0).view(F32)  # two columns at a time
+            self.had[level][met] += np.einsum("ij,ij->i", gradient, gradient)
+            gradient *= (self.rate / np.sqrt(self.had[level][met]))[:, None].astype(F32)
+            self.tables[level][met] -= gradient
+            self.times[level][met] += np.diff(np.r_[first, len(flat)])
 
 
 def _batches(vocabulary: Words, texts: Iterator, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -248,7 +231,8 @@ def _ship(trainer: Trainer) -> Iterator[tuple[int, int, bytes]]:
             yield t, b, b"".join([np.uint32(len(at)).tobytes(), at.tobytes(), times[at].astype(F32).tobytes(), table[b * BLOCK : (b + 1) * BLOCK][at].astype(np.float16).tobytes()])
 
 
-def _merge(parts: list[bytes], width: int) -> bytes:
+def _merge(parts: list[bytes]) -> bytes:
+    width = WAYS
     total, weight = np.zeros((BLOCK, width)), np.zeros(BLOCK)
     for part in parts:
         n = int(np.frombuffer(part, np.uint32, 1)[0])
@@ -299,36 +283,37 @@ def lexicon(counts: DataFrame) -> Lexicon:
     top = sorted(zip(got["w"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     ending = F.substring("w", -2, 2)
     masses = counts.where(F.col("w") != F.lit(END)).groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-    endings = {bytes(r["e"]): i + 2 for i, r in enumerate(masses.orderBy(F.desc("c"), "e").limit(CLASSES - 2).collect())}
-    if endings:
-        of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in endings.items() for x in (k.hex().upper(), v)]), F.hex("e")), F.lit(1))
-        by = {r["k"]: (r["c"], r["n"]) for r in masses.groupBy(of.alias("k")).agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()}
-    else:
-        by = {}
+    found = {bytes(r["e"]): (r["c"], r["n"]) for r in masses.orderBy(F.desc("c"), "e").limit(CELLS - 2).collect()}
+    endings = {e: i + 2 for i, e in enumerate(sorted(found, key=lambda e: e[::-1]))}  # cell 0: the end of a text; 1: all other endings
     head = dict(top)
     if ends:
         head[END] = ends
-    by[0] = (ends or 0, 1 if ends else 0)
+    mass, kinds = np.zeros(CELLS), np.zeros(CELLS)
+    for e, i in endings.items():
+        mass[i], kinds[i] = found[e]
+    mass[0], kinds[0] = ends or 0, 1 if ends else 0
+    mass[1], kinds[1] = (tokens or 0) - mass.sum(), types - kinds.sum()
     slots: dict[bytes, int] = {END: 0}
-    used, taken = np.zeros(CLASSES, int), np.zeros((CLASSES, SLOTS))
+    used, taken = np.zeros(CELLS, int), np.zeros((CELLS, WAYS))
     used[0], taken[0, 0] = 1, head.get(END, 0)
     for w, c in top:
         k = 0 if w == END else endings.get(w[-2:], 1)
-        if k and used[k] < SLOTS - 1:
+        if k and used[k] < WAYS - 1:
             slots[w] = int(used[k])
             taken[k, used[k]] = c
             used[k] += 1
-    mass, kinds = (np.array([by.get(k, (0, 0))[i] for k in range(CLASSES)], float) for i in (0, 1))
     rest, rest_kinds = mass - taken.sum(1), kinds - used
     rest_total = rest + 0.1 * (np.maximum(rest_kinds, 0) + 1)
     slot_mass = taken.copy()
-    slot_mass[:, SLOTS - 1] = rest_total
-    prior = np.where(slot_mass > 0, np.log(np.maximum(slot_mass, 1e-9)), -60.0)
-    prior[0, 1:] = -60.0
-    prior[0, 0] = 0.0
-    prior -= np.log(np.exp(prior).sum(1, keepdims=True))
-    by_class_log = np.log(mass + rest_total - rest)
-    return Lexicon(head, floor, endings, slots, (by_class_log - np.log(np.exp(by_class_log).sum())).astype(F32), prior.astype(F32), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
+    slot_mass[:, WAYS - 1] = rest_total
+    slot_mass[0] = [1.0] + [0.0] * (WAYS - 1)
+
+    def logs(m: np.ndarray) -> np.ndarray:
+        p = np.where(m > 0, np.log(np.maximum(m, 1e-9)), -60.0)
+        return (p - np.log(np.exp(p).sum(-1, keepdims=True))).astype(F32)
+
+    cells = (mass + rest_total - rest).reshape(WAYS, WAYS)
+    return Lexicon(head, floor, endings, slots, (logs(cells.sum(1)), logs(cells), logs(slot_mass)), rest_total, int(tokens), int(types), frozenset(w for w, _ in top[:CONTEXT]))
 
 
 def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
@@ -344,8 +329,8 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
             trainer = Trainer(shared_words.value, tuple(t.astype(F32) for t in tables.value))
             own = words_of(shared_words.value)
             for _, ids, starts in _batches(own, ((None, text) for (text,) in rows_of(batches, "text")), 200_000):
-                symbol, cls, slot, _ = own.look(ids)
-                trainer.learn(symbol, cls, slot, starts)
+                symbol, cell, slot, _ = own.look(ids)
+                trainer.learn(symbol, cell, slot, starts)
             if any(t.any() for t in trainer.times):
                 context = TaskContext.get()
                 rows = [(t, b, (context.partitionId() if context else 0) % 64, part) for t, b, part in _ship(trainer)]
@@ -353,13 +338,13 @@ def train(docs: DataFrame, known: Lexicon, rounds: int = 3) -> Model:
 
         def add(table: pa.Table) -> pa.Table:
             t, b = table["t"][0].as_py(), table["b"][0].as_py()
-            return pa.table([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([_merge(table["part"].to_pylist(), (CLASSES, SLOTS)[t])], pa.binary())], schema=merged)
+            return pa.table([pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([_merge(table["part"].to_pylist())], pa.binary())], schema=merged)
 
         chosen = docs.where(F.pmod(F.coalesce(F.xxhash64("doc_id", F.lit(9)), F.lit(0)), F.lit(rounds)) == r)
         parts = chosen.select("text").mapInArrow(learn, "t int, b int, salt int, part binary")
         once = parts.groupBy("t", "b", "salt").applyInArrow(add, "t int, b int, part binary")
         for row in once.groupBy("t", "b").applyInArrow(add, "t int, b int, part binary").collect():  # of the parameters' size
-            part, width = bytes(row["part"]), (CLASSES, SLOTS)[row["t"]]
+            part, width = bytes(row["part"]), WAYS
             n = int(np.frombuffer(part, np.uint32, 1)[0])
             at = np.frombuffer(part, np.uint16, n, 4).astype(int) + row["b"] * BLOCK
             model.tables[row["t"]][at] = np.frombuffer(part, np.float16, n * width, 4 + 6 * n).reshape(n, width)
@@ -393,11 +378,11 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
         rid = (context.partitionId() if context else 0) << 36
         texts = (((doc_id, held), text) for doc_id, held, text in rows_of(batches, "doc_id", "held_out", "text"))
         for keys, ids, starts in _batches(own, texts, 100_000):
-            symbol, cls, slot, counted = own.look(ids)
-            log = model.log10(symbol, cls, slot, starts)
-            in_rest, head = slot == SLOTS - 1, counted >= 0
+            symbol, cell, slot, counted = own.look(ids)
+            log = model.log10(symbol, cell, slot, starts)
+            in_rest, head = slot == WAYS - 1, counted >= 0
             word_log = np.where(head, np.log10(np.maximum(counted, 0) + 0.1), 0.0)
-            log += np.where(in_rest, word_log - rest_log[cls], 0.0)
+            log += np.where(in_rest, word_log - rest_log[cell], 0.0)
             n = np.diff(np.r_[starts, len(ids)])
             of = np.arange(rid, rid + len(keys))
             none, rows = [None] * len(keys), len(keys)

@@ -91,8 +91,14 @@ class Pieces:
                 a, b = self.ids.get(x[:k]), self.ids.get(x[k:])
                 if a is not None and b is not None:
                     joins[a << 32 | b] = rank
-        self.join_keys = np.array(sorted(joins), np.int64)
-        self.join_ranks = np.array([joins[k] for k in self.join_keys.tolist()], np.int32)
+        # a hash table with room for the longest run beyond its end
+        self.join_bits = max(4, (4 * len(joins)).bit_length())
+        self.join_keys = np.full((1 << self.join_bits) + len(joins) + 1, -1, np.int64)
+        self.join_ranks = np.zeros(len(self.join_keys), np.int32)
+        for at, (key, rank) in zip(self._slot(np.array(list(joins), np.int64)).tolist(), joins.items(), strict=True):
+            while self.join_keys[at] >= 0:
+                at += 1
+            self.join_keys[at], self.join_ranks[at] = key, rank
 
     def _forget(self) -> None:
         """The table of outcomes: by number the chunk, the outcome with a skip less and the last skip, how many candidates are taken, and where its ids end."""
@@ -176,69 +182,82 @@ class Pieces:
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of what two pieces join to; the number of ranks if nothing."""
         key = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
-        return np.where(self.join_keys[at] == key, self.join_ranks[at], len(self.of_rank)).astype(np.int32)
+        at = self._slot(key)
+        out = np.full(len(key), len(self.of_rank), np.int32)
+        left = np.arange(len(key))
+        while len(left):  # along the table from a key's own place to the next free one
+            found = np.take(self.join_keys, at)
+            same = found == key
+            out[left[same]] = np.take(self.join_ranks, at[same])
+            more = np.flatnonzero(~same & (found >= 0))
+            left, key, at = left[more], key[more], at[more] + 1
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * _PLACE >> np.uint64(64 - self.join_bits)).view(np.int64)
 
     def scan_many(self, codes: np.ndarray, lengths: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What scan() does for many chunks, a step of all of them at a time: ids, how many of them each chunk has, candidates taken.
 
-        codes: pieces of the letters of all chunks; skips: a row each of ascending numbers."""
-        m, width, none = len(lengths), int(lengths.max()), len(self.of_rank)
-        cols = np.arange(width)
-        symbols = np.full((m, width + 1), -1, np.int32)
-        symbols[:, :width][cols < lengths[:, None]] = codes
-        ranks = np.full((m, width + 1), none, np.int32)  # of the candidate that begins at a symbol; the last columns have none
-        a, b = symbols[:, : width - 1], symbols[:, 1:width]
+        codes: pieces of the letters of all chunks; skips: a row each of ascending numbers. With each step a row loses a
+        column: that of what was joined, or one of the empty ones at its end, of which it has one for each skip."""
+        m, longest, none = len(lengths), int(lengths.max()), len(self.of_rank)
+        width = longest + skips.shape[1] + 1
+        symbols = np.full((m, width), -1, np.int32)
+        symbols[np.arange(width) < lengths[:, None]] = codes
+        ranks = np.full((m, width), none, np.int32)  # of the candidate that begins at a symbol
+        a, b = symbols[:, : longest - 1], symbols[:, 1:longest]
         pair = b >= 0
-        ranks[:, : width - 1][pair] = self._rank(a[pair], b[pair])
+        ranks[:, : longest - 1][pair] = self._rank(a[pair], b[pair])
         skips = np.hstack([skips, np.full((m, 1), _NEVER)])
-        sizes, taken, done, done_ids = np.array(lengths), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full((m, width), -1, np.int32)
-        row, at = np.arange(m), np.zeros(m, np.int64)  # numbers of the rows still worked on; next skip
-        cols = np.arange(width + 1)
+        taken, done, done_ids = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full((m, longest), -1, np.int32)
+        row, at, steps = np.arange(m), np.zeros(m, np.int64), 0  # numbers of the rows still worked on; next skip
         while len(row):
             i = ranks.argmin(1)
             here = np.arange(len(row))
             best = ranks[here, i]
-            over = best == none
-            if over.any():
-                out, left = row[over], ~over
-                done_ids[out], done[out] = symbols[over, :width], sizes[out]
-                row, at, symbols, ranks, i, best = row[left], at[left], symbols[left], ranks[left], i[left], best[left]
-                here = np.arange(len(row))
+            if (over := best == none).any():
+                out, left, n = row[over], np.flatnonzero(~over), min(longest, width)
+                done_ids[out, :n] = symbols[over, :n]
+                taken[out] = steps
+                row, at, symbols, ranks, i, best = row[left], at[left], np.take(symbols, left, 0), np.take(ranks, left, 0), i[left], best[left]
+                here = here[: len(row)]
                 if not len(row):
                     break
-            skip = taken[row] == skips[row, at]
-            taken[row] += 1
-            at += skip
+            skip = skips[row, at] == steps
+            at, x, steps = at + skip, np.flatnonzero(~skip), steps + 1
             ranks[here[skip], i[skip]] = none
-            x = np.flatnonzero(~skip)
-            if len(x):
-                k = i[x]
-                moved = symbols[x[:, None], np.minimum(cols + (cols > k[:, None]), width)]
-                moved[np.arange(len(x)), k] = self.of_rank[best[x]]
-                fresh = ranks[x[:, None], np.minimum(cols + (cols >= k[:, None]), width)]
-                y = np.arange(len(x))
-                right = moved[y, np.minimum(k + 1, width)]
-                now = moved[y, k]
-                some = right >= 0
-                fresh[y, k] = none
-                fresh[y[some], k[some]] = self._rank(now[some], right[some])
-                some = k > 0
-                fresh[y[some], k[some] - 1] = self._rank(moved[y[some], k[some] - 1], now[some])
-                symbols[x], ranks[x] = moved, fresh
-                sizes[row[x]] -= 1
-        return done_ids[np.arange(width) < done[:, None]], done, taken
+            k = i[x]
+            symbols[x, k] = joined = self.of_rank[best[x]]
+            kept = np.ones(symbols.shape, bool)
+            kept[here, np.where(skip, width - 1, i + 1)] = False
+            symbols = symbols[kept].reshape(len(row), width - 1)
+            kept = np.ones(ranks.shape, bool)
+            kept[here, np.where(skip, width - 1, i)] = False
+            width -= 1
+            ranks = ranks[kept].reshape(len(row), width)
+            if not width:
+                continue
+            right = np.where(k + 1 < width, symbols[x, np.minimum(k + 1, width - 1)], -1)
+            r, l = np.flatnonzero(right >= 0), np.flatnonzero(k > 0)
+            ranks[x, k] = none
+            fresh = self._rank(np.concatenate([joined[r], symbols[x[l], k[l] - 1]]), np.concatenate([right[r], joined[l]]))
+            ranks[x[r], k[r]] = fresh[: len(r)]
+            ranks[x[l], k[l] - 1] = fresh[len(r) :]
+        done = (done_ids >= 0).sum(1)
+        return done_ids[done_ids >= 0], done, taken
 
     def _learn(self, chunks: list[str], before: np.ndarray, last: np.ndarray, skips: np.ndarray) -> np.ndarray:
         """Numbers of new outcomes: chunks, and a row each of the candidates skipped, the last of them and the outcome without it (-1: plain)."""
         numbers = np.arange(len(self.taken), len(self.taken) + len(chunks))
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = self.letter[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        known = np.logical_and.reduceat(codes >= 0, np.cumsum(lengths) - lengths) & (lengths <= LONG) & ~np.fromiter((x.startswith("  ") for x in chunks), bool, len(chunks)) & self.unique
+        begin = np.cumsum(lengths) - lengths
+        space, second = self.ids.get(" ", -2), np.minimum(begin + 1, len(codes) - 1)
+        known = np.logical_and.reduceat(codes >= 0, begin) & (lengths <= LONG) & ~((lengths > 1) & (codes[begin] == space) & (codes[second] == space)) & self.unique
         ids, counts, taken = np.zeros(0, np.int64), np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         found: list[list[int]] = []
         order = np.concatenate([np.flatnonzero(known)[np.argsort(lengths[known], kind="stable")], np.flatnonzero(~known)])  # outcomes are numbered in this order
-        begin = np.cumsum(lengths) - lengths
         n_known, parts = int(known.sum()), []
         bounds = np.searchsorted(lengths[order[:n_known]], [1, 5, 7, 9, 11, 14, 18, 24, LONG + 1])
         for a, b in zip(bounds, bounds[1:], strict=False):
@@ -291,7 +310,7 @@ class Pieces:
         while len(live):
             run = self._run(h[live], np.full(1, depth, np.uint64))
             skip = first[live] + run
-            hit = (run < len(self.runs)) & (skip < np.array(self.taken, np.int64)[e[live]])
+            hit = (run < len(self.runs)) & (skip < np.frombuffer(self.taken, np.int64)[e[live]])
             live, skip, depth = live[hit], skip[hit], depth + 1
             if len(live):
                 kinds, place = np.unique(e[live] * (4 * LONG) + skip, return_inverse=True)
@@ -301,8 +320,8 @@ class Pieces:
                     was, last = np.divmod(kinds[fresh], 4 * LONG)
                     chain, at = [last], was
                     for _ in range(depth - 1):
-                        chain.append(np.array(self.last, np.int64)[at])
-                        at = np.array(self.before, np.int64)[at]
+                        chain.append(np.frombuffer(self.last, np.int64)[at])
+                        at = np.frombuffer(self.before, np.int64)[at]
                     found[fresh] = self._learn([self.chunk_of[i] for i in was.tolist()], was, last, np.stack(chain[::-1], 1))
                     self.after.update(zip(kinds[fresh].tolist(), found[fresh].tolist(), strict=True))
                 e[live] = found[place]
@@ -330,7 +349,7 @@ class Pieces:
 
     def _ids(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of outcomes one after another, and where those of each end."""
-        ends, pool = np.array(self.ends, np.int64), np.frombuffer(self.pool, "<u4")
+        ends, pool = np.frombuffer(self.ends, np.int64), np.frombuffer(self.pool, "<u4")
         n = ends[e + 1] - ends[e]
         place = np.cumsum(n)
         return pool[np.repeat(ends[e + 1] - place, n) + np.arange(place[-1])], place

@@ -5,8 +5,9 @@ classes of 16 cells of 16 slots. A word's cell is its ending (the most frequent
 one, the end of a text has its own); endings that end alike are in one class. A cell has slots for its most frequent
 words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word included, so the
 model is a distribution. All three softmaxes are log-linear in hashed features of the history: the last word, skips to the
-second and third last, and the last two together; rare words of the history count by their ending. They start from the
-counts, so that features only learn what the history adds.
+second and third last, and the last two together for the class, the last word and the skip to the second last for the cell,
+the last word for the slot; rare words of the history count by their ending. They start from the counts, so that features
+only learn what the history adds.
 
 Training: the training documents are dealt into rounds. In each, every task starts from the shared parameters, makes
 gradient steps (scaled by row) on its documents of the round in batches, and gives back the rows it touched; rows are
@@ -37,7 +38,7 @@ from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_ca
 END = b"\n"  # no word holds white space
 WAYS, ROWS = 16, 1 << 15  # branches of each softmax; rows of its table
 CELLS = WAYS * WAYS
-USED = (4, 3, 2)  # features of each softmax
+USED = (4, 2, 1)  # features of each softmax
 HEAD, CONTEXT = 131_072, 8_192
 BLOCK = 2048
 F32 = np.float32
@@ -132,9 +133,9 @@ def features(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def rows_of_level(f: np.ndarray, level: int, cell: np.ndarray) -> np.ndarray:
     """Rows of the features in a softmax's table: those of the second go with the class, those of the third with the cell."""
     if not level:
-        return f % np.uint32(ROWS)
+        return (f % np.uint32(ROWS)).astype(np.intp)
     of = cell.astype(np.uint32) // WAYS if level == 1 else cell.astype(np.uint32) + np.uint32(CELLS)
-    return _mix(f[: USED[level]] * np.uint32(2 * CELLS) + of + np.uint32(77)) % np.uint32(ROWS)
+    return (_mix(f[: USED[level]] * np.uint32(2 * CELLS) + of + np.uint32(77)) % np.uint32(ROWS)).astype(np.intp)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -154,10 +155,10 @@ class Model:
         """Of each softmax, the rows of its features and the probabilities."""
         for level, prior in enumerate(self.lexicon.priors):
             rows, table = rows_of_level(f, level, cell), self.tables[level]
-            z = table[rows[0]]
+            z = np.take(table, rows[0], 0)
             for r in rows[1:]:
-                z += table[r]
-            z += prior if not level else prior[cell // WAYS] if level == 1 else prior[cell]
+                z += np.take(table, r, 0)
+            z += prior if not level else np.take(prior, cell // WAYS if level == 1 else cell, 0)
             yield rows, _softmax(z)
 
     def log10(self, symbol, cell, slot, starts) -> np.ndarray:
@@ -192,7 +193,7 @@ class Trainer(Model):
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             met = flat[first].astype(np.int64)
-            gradient = np.add.reduceat(p[order % len(cell)].view(np.complex64), first, axis=0).view(F32)  # two columns at a time
+            gradient = np.add.reduceat(np.take(p, order % len(cell), 0).view(np.complex64), first, axis=0).view(F32)  # two columns at a time
             self.had[level][met] += np.einsum("ij,ij->i", gradient, gradient)
             gradient *= (self.rate / np.sqrt(self.had[level][met]))[:, None].astype(F32)
             self.tables[level][met] -= gradient

@@ -74,7 +74,7 @@ def plainly(model, text):
         f = [mix((past[k] * (2 * k + 3) + 0x9E3779B1 * (k + 1)) & 0xFFFFFFFF) for k in range(3)]
         f.append(mix(f[0] ^ (past[1] * 0x85EBCA6B & 0xFFFFFFFF)))
         cell = 0 if w == lm.END else lex.endings.get(w[-2:], 1)
-        rows = [[x % lm.ROWS for x in f], [mix((x * 512 + cell // 16 + 77) & 0xFFFFFFFF) % lm.ROWS for x in f[:3]], [mix((x * 512 + cell + 256 + 77) & 0xFFFFFFFF) % lm.ROWS for x in f[:2]]]
+        rows = [[x % lm.ROWS for x in f], [mix((x * 512 + cell // 16 + 77) & 0xFFFFFFFF) % lm.ROWS for x in f[: lm.USED[1]]], [mix((x * 512 + cell + 256 + 77) & 0xFFFFFFFF) % lm.ROWS for x in f[: lm.USED[2]]]]
         for level, (prior, target) in enumerate(((lex.priors[0], cell // 16), (lex.priors[1][cell // 16], cell % 16), (lex.priors[2][cell], lex.slots.get(w, 15)))):
             z = [float(prior[k]) + sum(float(model.tables[level][r][k]) for r in rows[level]) for k in range(16)]
             total += (z[target] - math.log(sum(map(math.exp, z)))) / math.log(10)

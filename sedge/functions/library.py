@@ -66,6 +66,7 @@ SQL = [
     ("sg_json_kind(r STRING)", "STRING", """CASE WHEN r IS NULL THEN NULL WHEN r IN ('null', 'true', 'false') THEN r WHEN r LIKE '{%' THEN 'object' WHEN r LIKE '[%' THEN 'array' WHEN r LIKE '"%' THEN 'text'
         WHEN r RLIKE '^-?[0-9]+$' THEN 'integer' ELSE 'real' END"""),
     ("sg_json_get(x STRING, p STRING)", "STRING", "CASE GET_JSON_OBJECT(x, p) WHEN 'true' THEN '1' WHEN 'false' THEN '0' ELSE GET_JSON_OBJECT(x, p) END"),
+    ("sg_json_got(g STRING, r STRING)", "STRING", "CASE r WHEN 'true' THEN '1' WHEN 'false' THEN '0' ELSE g END"),
     ("sg_json_array_length(x STRING, p STRING)", "INT", "COALESCE(JSON_ARRAY_LENGTH(GET_JSON_OBJECT(x, p)), 0)"),
     ("sg_pad(k BINARY, b INT)", "BINARY", "UNHEX(ARRAY_JOIN(TRANSFORM(SEQUENCE(1, 64), i -> LPAD(HEX(COALESCE(CAST(CONV(NULLIF(HEX(SUBSTRING(k, i, 1)), ''), 16, 10) AS INT), 0) ^ b), 2, '0')), ''))"),
     ("sg_hmac(k BINARY, m BINARY)", "STRING", "SHA2(CONCAT(sg_pad(IF(LENGTH(k) > 64, UNHEX(SHA2(k, 256)), k), 92), UNHEX(SHA2(CONCAT(sg_pad(IF(LENGTH(k) > 64, UNHEX(SHA2(k, 256)), k), 54), m), 256))), 256)"),

@@ -225,6 +225,8 @@ def json_raw(doc: str, path: Sql) -> str:
 def json_extract(args: list[Sql]) -> Sql:
     doc = text(args[0])
     if len(args) == 2:
+        if isinstance(args[1].literal, str):  # truth values are 1 and 0, the texts "true" and "false" aren't
+            return Sql(f"sg_json_got(GET_JSON_OBJECT({doc}, {text(args[1])}), {json_raw(doc, args[1])})", "text")
         return Sql(f"sg_json_get({doc}, {text(args[1])})", "text")
     return Sql(f"CONCAT('[', CONCAT_WS(',', {', '.join(f"COALESCE({json_raw(doc, p)}, 'null')" for p in args[1:])}), ']')", "text")
 

@@ -159,6 +159,34 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "routine_loop": ("CREATE FUNCTION tri(n INT) RETURNS INT LANGUAGE PLSQL AS $$ DECLARE s INT := 0; BEGIN FOR i IN 1..n LOOP s := s + i; END LOOP; RETURN s; END $$; SELECT p_partkey, CAST(tri(p_size) AS INTEGER) AS t FROM part", "SELECT p_partkey, p_size * (p_size + 1) // 2 AS t FROM part"),
     "routine_lua": ("CREATE FUNCTION lsum(n INT) RETURNS INT LANGUAGE LUA AS $$ local s = 0 for i = 1, n, 2 do s = s + i end if s > 100 then return s else return -s end $$; SELECT p_partkey, CAST(lsum(p_size) AS INTEGER) AS t FROM part", "SELECT p_partkey, CASE WHEN ((p_size + 1) // 2) ** 2 > 100 THEN ((p_size + 1) // 2) ** 2 ELSE -(((p_size + 1) // 2) ** 2) END::BIGINT AS t FROM part"),
     "sequence_values": ("CREATE SEQUENCE sq START WITH 5 INCREMENT BY 2; SELECT NEXTVAL('sq') AS a, NEXTVAL('sq') AS b, CURRVAL('sq') AS c", "SELECT 5 AS a, 7 AS b, 7 AS c"),
+    "sequence_rows": ("CREATE SEQUENCE sr START WITH 5 INCREMENT BY 2; CREATE TABLE sr (id INTEGER PRIMARY KEY, n TEXT); INSERT INTO sr SELECT NEXTVAL('sr'), c_name FROM customer; SELECT COUNT(*) AS n, COUNT(DISTINCT id) AS ids, MIN(id) AS low, MAX(id) AS high FROM sr", "SELECT COUNT(*) AS n, COUNT(*) AS ids, 5 AS low, 3 + 2 * COUNT(*) AS high FROM customer"),
+    "insert_many_values": ("CREATE TABLE iv (id INTEGER PRIMARY KEY, v REAL, s TEXT); INSERT INTO iv VALUES " + ", ".join(f"({i}, {i}.5, 'row {i}')" for i in range(2000)) + "; SELECT c_custkey, v, s FROM customer JOIN iv ON iv.id = c_custkey", "SELECT c_custkey, c_custkey + 0.5 AS v, 'row ' || c_custkey AS s FROM customer WHERE c_custkey < 2000"),
+    "insert_expressions": ("CREATE TABLE ie (id INTEGER PRIMARY KEY, s TEXT); INSERT INTO ie (s) VALUES " + ", ".join(f"(UPPER('r{i}') || ({i} * 2))" for i in range(300)) + "; SELECT n_nationkey, s FROM nation JOIN ie ON ie.id = n_nationkey + 1", "SELECT n_nationkey, 'R' || n_nationkey || n_nationkey * 2 AS s FROM nation"),
+    # subqueries that refer to a query more than one out
+    "anti_in_anti": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_suppkey < o.o_orderkey))", SAME),
+    "anti_in_semi": ("SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > c.c_acctbal))", SAME),
+    "scalar_in_scalar": ("SELECT n_nationkey, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT AVG(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS richer FROM nation n", SAME),
+    "anti_in_in": ("SELECT n_name FROM nation n WHERE n_nationkey IN (SELECT c.c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey = c.c_custkey))", SAME),
+    # scans and stored tables
+    "columnar_scan": ("CREATE TABLE cs (k INTEGER PRIMARY KEY, a TEXT, b REAL, c INT) WITH COLUMNAR; INSERT INTO cs SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders; SELECT c, SUM(b) AS total FROM cs WHERE b > 100000 GROUP BY c", "SELECT o_custkey AS c, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey"),
+    "index_range_scan": ("CREATE TABLE ix (k INTEGER PRIMARY KEY, d INT); INSERT INTO ix SELECT o_orderkey, o_custkey FROM orders; CREATE INDEX ix_d ON ix (d); SELECT k, d FROM ix WHERE d BETWEEN 10 AND 30 AND k > 100", "SELECT o_orderkey AS k, o_custkey AS d FROM orders WHERE o_custkey BETWEEN 10 AND 30 AND o_orderkey > 100"),
+    "key_lookup": ("CREATE TABLE kl (k INTEGER PRIMARY KEY, n TEXT); INSERT INTO kl SELECT c_custkey, c_name FROM customer; SELECT k, n FROM kl WHERE k = 42", "SELECT c_custkey AS k, c_name AS n FROM customer WHERE c_custkey = 42"),
+    "qualified_star": ("SELECT n.*, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey", SAME),
+    "quoted_and_comments": ("SELECT \"n_name\" AS \"the name\", /* not this, */ n_nationkey AS [key] FROM nation -- nor this\n WHERE n_regionkey = 1", "SELECT n_name AS \"the name\", n_nationkey AS key FROM nation WHERE n_regionkey = 1"),
+    "limit_expression": ("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 2 + 3 OFFSET 2 * 2", SAME),
+    # functions of the session, of time and of chance
+    "random_values": ("SELECT n_nationkey, TYPEOF(RANDOM()) AS t, LENGTH(RANDOMBLOB(n_nationkey + 1)) AS n, RANDOM() = RANDOM() AS same FROM nation", "SELECT n_nationkey, 'integer' AS t, n_nationkey + 1 AS n, 0 AS same FROM nation"),
+    "change_counters": ("CREATE TABLE cc (id INTEGER PRIMARY KEY, k INT); INSERT INTO cc (k) SELECT n_regionkey FROM nation; DELETE FROM cc WHERE k = 2; SELECT r_regionkey, CHANGES() AS changed, LAST_INSERT_ROWID() AS last, CURRENT_VERSION() AS version FROM region", "SELECT r_regionkey, (SELECT COUNT(*) FROM nation WHERE n_regionkey = 2) AS changed, (SELECT COUNT(*) FROM nation) AS last, 3 AS version FROM region"),
+    "current_times": ("SELECT n_nationkey, CURRENT_DATE() = DATE('now') AS d, LENGTH(CURRENT_TIME()) AS t, SUBSTR(CURRENT_TIMESTAMP(), 1, 10) = CURRENT_DATE() AS s FROM nation", "SELECT n_nationkey, 1 AS d, 8 AS t, 1 AS s FROM nation"),
+    "json_truth_and_text": ("SELECT p_partkey, JSON_EXTRACT(JSON_OBJECT('a', CASE WHEN p_size > 25 THEN 'true' ELSE p_name END), '$.a') AS t, JSON_EXTRACT(CASE WHEN p_size > 25 THEN '{\"b\":true}' ELSE '{\"b\":false}' END, '$.b') AS b FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'true' ELSE p_name END AS t, CASE WHEN p_size > 25 THEN '1' ELSE '0' END AS b FROM part"),
+    "json_several_paths": ("SELECT p_partkey, JSON_EXTRACT(JSON_OBJECT('a', p_size, 'b', p_name), '$.a', '$.c', '$.b') AS x FROM part", "SELECT p_partkey, '[' || p_size || ',null,' || to_json(p_name) || ']' AS x FROM part"),
+    "json_minified": ("SELECT p_partkey, JSON(JSON_OBJECT('a', p_size)) AS x, JSON_VALID(p_name) AS v FROM part", "SELECT p_partkey, '{\"a\":' || p_size || '}' AS x, 0 AS v FROM part"),
+    "digest_lengths": ("SELECT p_partkey, LENGTH(SHA384(p_name)) AS a, LENGTH(SHA512(p_name)) AS b, SHA512(p_name) = SHA512(p_name || '') AS same, SHA384(p_name) = SHA384(p_brand) AS other, LENGTH(PBKDF2(p_name, 'salt', 2, 16)) AS k FROM part WHERE p_partkey < 50", "SELECT p_partkey, 96 AS a, 128 AS b, 1 AS same, 0 AS other, 32 AS k FROM part WHERE p_partkey < 50"),
+    # upkeep
+    "truncate_and_reload": ("CREATE TABLE tr (k INTEGER PRIMARY KEY); INSERT INTO tr SELECT n_nationkey FROM nation; TRUNCATE TABLE tr; INSERT INTO tr SELECT n_nationkey FROM nation WHERE n_regionkey = 3; SELECT k FROM tr", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 3"),
+    "drop_and_create": ("CREATE TABLE dc (k INT); CREATE VIEW dv AS SELECT k FROM dc; CREATE INDEX di ON dc (k); DROP INDEX di; DROP VIEW dv; DROP TABLE dc; DROP TABLE IF EXISTS dc; CREATE TABLE dc (k TEXT); INSERT INTO dc SELECT r_name FROM region; SELECT k FROM dc", "SELECT r_name AS k FROM region"),
+    "upkeep_statements": ("CREATE TABLE up (k INTEGER PRIMARY KEY, v INT); INSERT INTO up SELECT n_nationkey, n_regionkey FROM nation; COMMENT ON TABLE up IS 'about'; COMMENT ON COLUMN up.v IS 'region'; ANALYZE up; UPDATE up SET v = v + 1 WHERE k > 9; REINDEX; VACUUM; LOCK TABLE up IN EXCLUSIVE MODE; SELECT k, v FROM up", "SELECT n_nationkey AS k, n_regionkey + CASE WHEN n_nationkey > 9 THEN 1 ELSE 0 END AS v FROM nation"),
+    "rights": ("CREATE TABLE ri (k INT); INSERT INTO ri SELECT r_regionkey FROM region; GRANT SELECT, INSERT ON ri TO ann; REVOKE INSERT ON ri FROM ann; GRANT SELECT ON ri TO PUBLIC; SELECT k FROM ri", "SELECT r_regionkey AS k FROM region"),
 }
 
 #: Where two-valued logic matters.
@@ -198,6 +226,59 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", *[F.expr(e).alias(n) for n, e in made.items()])
 
 
+def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prepared statement with numbered and named parameters, called twice."""
+    engine = Engine(spark)
+    engine.register("part", table(spark, sf_dir, "part"))
+    small = engine.prepare("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN ? AND ?")
+    named = engine.prepare("SELECT p_partkey, p_size FROM part WHERE p_size = :size")
+    return small(3, 9).union(named(size=40))
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions in Python, given to the engine alone and by a module."""
+    engine = Engine(spark)
+    engine.register("nation", table(spark, sf_dir, "nation"))
+    engine.create_function("backwards", lambda x: None if x is None else x[::-1], "string", 1)
+    return engine.sql("SELECT n_nationkey, backwards(n_name) AS b FROM nation")
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows handed over one by one, and by a callback."""
+    engine = Engine(spark)
+    engine.register("nation", table(spark, sf_dir, "nation"))
+    rows = [(i, n, "stream") for i, n in engine.stream("SELECT n_nationkey, n_name FROM nation")]
+    engine.execute("SELECT n_nationkey, n_name FROM nation", lambda row, columns: rows.append((int(row[0]), row[1], "callback")))
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string, how string")
+
+
+def _lasting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in a folder, written by one engine and read by the next, which sees what was committed."""
+    path = f"{Engine(spark).store.path}-folder"
+    first = Engine(spark, path)
+    first.register("nation", table(spark, sf_dir, "nation"))
+    first.sql("CREATE TABLE kept (k INTEGER PRIMARY KEY, n TEXT); INSERT INTO kept SELECT n_nationkey, n_name FROM nation; BEGIN; DELETE FROM kept WHERE k < 10; COMMIT; BEGIN; DELETE FROM kept")
+    return Engine(spark, path).sql("SELECT k, n FROM kept")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the plan of a pruned scan shows its filter and the two columns it reads."""
+    engine = Engine(spark)
+    engine.register("part", table(spark, sf_dir, "part"))
+    plan = engine.sql("EXPLAIN SELECT p_partkey FROM part WHERE p_size > 40").first()[0]
+    return spark.createDataFrame([("GreaterThan(p_size,40)" in plan, "ReadSchema: struct<p_partkey" in plan and "p_name" not in plan)], "pushed boolean, pruned boolean")
+
+
+#: Queries that use the engine's own calls, and what they give.
+CALLS: dict[str, tuple[Query, str]] = {
+    "bound_parameters": (_parameters, "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 3 AND 9 OR p_size = 40"),
+    "python_functions": (_functions, "SELECT n_nationkey, reverse(n_name) AS b FROM nation"),
+    "row_delivery": (_delivered, "SELECT n_nationkey, n_name, how FROM nation, (VALUES ('stream'), ('callback')) t(how)"),
+    "lasting_tables": (_lasting, "SELECT n_nationkey AS k, n_name AS n FROM nation WHERE n_nationkey >= 10"),
+    "explain_plan": (_explained, "SELECT TRUE AS pushed, TRUE AS pruned"),
+}
+
+
 LANGUAGES_SQL = """SELECT p_partkey, CAST(p_size * p_size + 2 * p_partkey AS DOUBLE) AS by_sql, p_size * 3 / 2.0 + p_partkey % 7 AS by_xpath, CAST((p_size + 1) * (p_size + 1) - 1 AS DOUBLE) AS by_xquery,
     CAST(CASE WHEN p_size * p_size > 100 THEN p_size * p_size ELSE -p_size * p_size END AS DOUBLE) AS by_lua, CAST(GREATEST(p_size, p_partkey) AS DOUBLE) AS by_plsql FROM part"""
 
@@ -207,6 +288,7 @@ def queries() -> dict[str, Query]:
 
     found = {k: _run(sql) for k, (sql, _) in QUERIES.items()}
     found |= {k: _run(sql, "compat") for k, (sql, _) in COMPAT.items()}
+    found |= {k: query for k, (query, _) in CALLS.items()}
     return found | {"numeric_languages": _languages, "spatial_grid_join": grid_join_query}
 
 
@@ -214,4 +296,5 @@ def oracle_sql() -> dict[str, str]:
     from sedge.operators.spatial import GRID_JOIN_SQL
 
     found = {k: sql if oracle is None else oracle for k, (sql, oracle) in {**QUERIES, **COMPAT}.items()}
+    found |= {k: sql for k, (_, sql) in CALLS.items()}
     return found | {"numeric_languages": LANGUAGES_SQL, "spatial_grid_join": GRID_JOIN_SQL}

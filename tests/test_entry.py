@@ -34,3 +34,16 @@ def test_against_the_oracle(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in got.columns]
     assert plain(map(tuple, got.collect())) == plain(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_without_the_training_data_operators(monkeypatch):
+    """Their folders may be deleted, with the pipeline's file left or not."""
+    import importlib.util
+    import sys
+
+    found = importlib.util.find_spec
+    for gone in ({"sedge.llm"}, {"sedge.llm", "corpus_pipeline"}):
+        monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a, gone=gone: None if n in gone else found(n, *a))
+        for n in [m for m in sys.modules if m.startswith("sedge.llm") or m == "corpus_pipeline"]:
+            monkeypatch.setitem(sys.modules, n, None)
+        assert set(__spark_entry__.queries()) == set(registry.queries()) and set(__spark_entry__.oracle_sql()) == set(registry.oracle_sql())

@@ -157,3 +157,20 @@ def test_keywords():
     from sedge.plans.parser import KEYWORDS, is_keyword
 
     assert is_keyword("select") and not is_keyword("colour") and list(KEYWORDS) == sorted(KEYWORDS)
+
+
+def test_many_rows_of_values(engine):
+    engine.sql("CREATE TABLE mv (id INTEGER PRIMARY KEY, a INT, s TEXT DEFAULT 'none')")
+    engine.sql("INSERT INTO mv VALUES " + ", ".join(f"({i}, {i % 7}, 'it''s {i}')" for i in range(10_000)))
+    assert engine.changes() == 10_000
+    engine.sql("INSERT INTO mv (a) VALUES (1), (2 + 3), ((SELECT MAX(a) FROM mv)), (NULL), (7)")
+    assert engine.rows("SELECT id, a, s FROM mv WHERE id > 9998 ORDER BY id") == [(9999, 3, "it's 9999"), (10000, 1, "none"), (10001, 5, "none"), (10002, 6, "none"), (10003, None, "none"), (10004, 7, "none")]
+
+
+def test_a_sequence_gives_each_row_a_value(engine):
+    engine.sql("CREATE SEQUENCE s START WITH 10 INCREMENT BY 5; CREATE TABLE sv (id INTEGER PRIMARY KEY, a INT); INSERT INTO sv VALUES (1, 1), (2, 2), (3, 3)")
+    assert sorted(engine.rows("SELECT a, NEXTVAL('s') AS k FROM sv"))[0][0] == 1 and engine.rows("SELECT CURRVAL('s') AS c") == [(20,)]
+    assert {r[0] for r in engine.rows("SELECT NEXTVAL('s') AS k FROM sv WHERE a > 1")} == {25, 30} and engine.rows("SELECT NEXTVAL('s') AS k") == [(35,)]
+    with pytest.raises(DialectError):
+        engine.sql("SELECT NEXTVAL('s') + 1 FROM sv")
+    assert engine.rows("SELECT NEXTVAL('s') AS k FROM sv WHERE a > 9") == []

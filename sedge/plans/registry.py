@@ -167,6 +167,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "anti_in_semi": ("SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > c.c_acctbal))", SAME),
     "scalar_in_scalar": ("SELECT n_nationkey, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT AVG(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS richer FROM nation n", SAME),
     "anti_in_in": ("SELECT n_name FROM nation n WHERE n_nationkey IN (SELECT c.c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey = c.c_custkey))", SAME),
+    "spatial_join_on": ("SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON ST_DWithin(ST_Point(p.p_partkey % 97, p.p_size), ST_Point(s.s_suppkey % 89, s.s_nationkey), 3) AND p.p_size > 5", "SELECT p_partkey, s_suppkey FROM part, supplier WHERE (p_partkey % 97 - s_suppkey % 89) ** 2 + (p_size - s_nationkey) ** 2 <= 9 AND p_size > 5"),
+    "spatial_left_join_on": ("SELECT n.n_nationkey, s.s_suppkey FROM nation n LEFT JOIN supplier s ON ST_DWithin(ST_Point(s.s_suppkey, s.s_nationkey), ST_Point(n.n_nationkey, n.n_regionkey), 1.5)", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier ON (n_nationkey - s_suppkey) ** 2 + (n_regionkey - s_nationkey) ** 2 <= 2.25"),
     # scans and stored tables
     "columnar_scan": ("CREATE TABLE cs (k INTEGER PRIMARY KEY, a TEXT, b REAL, c INT) WITH COLUMNAR; INSERT INTO cs SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders; SELECT c, SUM(b) AS total FROM cs WHERE b > 100000 GROUP BY c", "SELECT o_custkey AS c, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey"),
     "index_range_scan": ("CREATE TABLE ix (k INTEGER PRIMARY KEY, d INT); INSERT INTO ix SELECT o_orderkey, o_custkey FROM orders; CREATE INDEX ix_d ON ix (d); SELECT k, d FROM ix WHERE d BETWEEN 10 AND 30 AND k > 100", "SELECT o_orderkey AS k, o_custkey AS d FROM orders WHERE o_custkey BETWEEN 10 AND 30 AND o_orderkey > 100"),

@@ -20,13 +20,18 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    """A folder of the application's in the one that driver and executors share, spark.checkpoint.dir; it goes when the driver ends.
+
+    A temporary one only where that is unset and all run on one machine."""
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="sedge-shared-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        _own[app] = f"{named.rstrip('/')}/sedge-{app}" if named else "file://" + tempfile.mkdtemp(prefix="sedge-shared-")
+        path = context._jvm.org.apache.hadoop.fs.Path(_own[app])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return _own[app]
 
 

@@ -6,10 +6,12 @@ covering radii holds no link and is pruned; one whose every pair must be within
 a level, and at the points the cosine itself decides, in double precision.
 
 Equal vectors of a label are one point with a multiplicity. A label with more points than one task should hold is dealt
-into cells around sampled centres, the top level of its tree: a point also goes as a guest to every cell whose centre is
-within tau plus the cell's covering radius, so all its partners meet it there. Cells and guests beyond the bound are cut
-by hash, and every pair of parts is a task of bounded size. Links are counted, not listed; what connects points is a star
-for each task and component.
+into cells around centres, a level of its tree: the smallest radius whose cover of a sample has few enough centres. A point
+has its home in the cell of the nearest centre (within the radius, or beyond it), and is a guest of every cell that holds a
+point within tau, as told by its distance from the centre and by the least and greatest distance of the cell's points. So
+points in small clusters stay in one cell. Cells, and guests, beyond a task's bound are cut by hash, and every pair of
+parts of one cell is a task of bounded size. Links are counted, not listed; what connects points is a star for each task
+and component.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import batch, cut
+from sedge.llm.common import batch, cut, small_batches
 from sedge.llm.components import components, lookup
 
 SLACK = 1e-7
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
+COVERS = (0.4, 0.55, 0.75, 1.0)  # radii of cells that are tried
 
 
 class CoverTree:
@@ -138,36 +141,49 @@ def join(home: tuple, guest: tuple, cosine: float) -> tuple[np.ndarray, list[tup
 
 
 def _matrix(column) -> np.ndarray:
+    """Rows times a power of two each, which changes no cosine, so that squares neither overflow nor vanish."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
 
 
-def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", task_points: int = 4096, max_centres: int = 4096) -> DataFrame:
+def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", task_points: int = 4096, max_centres: int = 4096, sample: int = 16_384, bits: int = 64) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Vectors without a label, null or empty ones, those with a null or non-finite component or of length 0 link with
     nothing: n_links 0, component_id their own id, kept. Vectors of different dimensions don't link. Rows with equal
     vectors and labels link (a cosine of 1); rows that share an id are vectors of their own. A null id counts as a link,
-    and is kept if it is the only one. Extra columns are ignored; an empty table gives no rows."""
+    and is kept if it is the only one. Extra columns are ignored; an empty table gives no rows.
+
+    task_points: points of a label, or of a cell, that one task holds; max_centres, sample: centres, and points that they
+    are chosen from, of all larger labels together (each has one at least). They shape the tasks, not the result.
+    bits: of the first hash that names a vector, fewer in tests; vectors in which it is equal are named by the second."""
+    small_batches(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(label_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable &= F.exists(v, lambda x: x != 0)
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.when(F.coalesce(usable, F.lit(False)), F.concat_ws(":", F.size(vector_col).cast("string"), F.col(label_col).cast("string"))).alias("g"))
-    uid = F.when(F.col("g").isNotNull(), F.xxhash64("g", "v"))
-    rows = raw.withColumn("uid", uid)
-    classes = rows.where("g is not null").withColumn("check", F.xxhash64("v", "g")).groupBy("uid").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("v").alias("v"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    classes = cut(classes, "neardup-classes")
-    if not classes.where("lo <> hi").isEmpty():
-        raise RuntimeError("two different vectors have one 64-bit hash")
-    points = classes.select("uid", "n", "g", "v")
-    sizes = points.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > task_points)
+    rows = raw.withColumns({"uid": F.when(F.col("g").isNotNull(), F.shiftrightunsigned(F.xxhash64("g", "v"), 64 - bits) if bits < 64 else F.xxhash64("g", "v")), "check": F.when(F.col("g").isNotNull(), F.xxhash64("v", "g"))})
+
+    def named(rows: DataFrame) -> DataFrame:
+        return cut(rows.where("g is not null").groupBy("uid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("v").alias("v"), F.min("check").alias("lo"), F.max("check").alias("hi")), "neardup-classes")
+
+    classes = named(rows)
+    clash = [r["uid"] for r in classes.where("lo <> hi").select("uid").collect()]  # of n vectors about n * n / 2**65
+    if clash:
+        rows = rows.withColumn("uid", F.when(F.col("uid").isin(clash), F.col("check")).otherwise(F.col("uid")))
+        classes = named(rows)
+        if not classes.where("lo <> hi").isEmpty():
+            raise RuntimeError("two different vectors have one 128-bit hash")
+    points = classes.select("uid", "n", "g", F.col("v").cast("array<double>").alias("v"))
+    sizes = cut(points.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > task_points), "neardup-sizes")
     large = {r["g"]: r["size"] for r in sizes.collect()}  # at most a label for each task_points points
-    ddl = "task string, uid long, n long, v array<double>, home boolean, guest boolean"
-    small = points.where(~F.col("g").isin([*large])) if large else points
-    dealt = small.select(F.col("g").alias("task"), "uid", "n", F.col("v").cast("array<double>").alias("v"), F.lit(True).alias("home"), F.lit(True).alias("guest"))
+    ddl = "g string, cell int, part int, block int, uid long, n long, v array<double>, home boolean, guest boolean"
+    here = [F.lit(0).alias(x) for x in ("cell", "part", "block")]
+    small = lookup(points, sizes, "g").where("size is null")
+    dealt = small.select("g", *here, "uid", "n", "v", F.lit(True).alias("home"), F.lit(True).alias("guest"))
     if large:
-        dealt = dealt.unionByName(_cells(points.where(F.col("g").isin([*large])), large, cosine, task_points, max_centres))
+        dealt = dealt.unionByName(_cells(lookup(points, sizes, "g", "inner"), large, cosine, task_points, max_centres, sample, ddl))
     fields = pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
     def solve(table: pa.Table) -> pa.Table:
@@ -178,7 +194,7 @@ def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vecto
         links, edges = join(own, every if own is every else (ids[guest], n[guest], x[guest]), cosine)
         return pa.table([pa.array([*own[0], *(e[0] for e in edges)], pa.int64()), pa.array([*links, *[None] * len(edges)], pa.int64()), pa.array([*[None] * len(links), *(e[1] for e in edges)], pa.int64())], schema=fields)
 
-    found = cut(dealt.groupBy("task").applyInArrow(solve, "uid long, links long, to long"), "neardup-links")
+    found = cut(dealt.groupBy("g", "cell", "part", "block").applyInArrow(solve, "uid long, links long, to long"), "neardup-links")
     counted = found.where("to is null").groupBy("uid").agg(F.sum("links").alias("links"))
     linked = components(found.where("to is not null").select(F.col("uid").alias("a"), F.col("to").alias("b")))
     named = linked.withColumnRenamed("node", "uid").join(classes.select("uid", "rep"), "uid")
@@ -191,66 +207,102 @@ def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vecto
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _cells(points: DataFrame, large: dict[str, int], cosine: float, task_points: int, max_centres: int) -> DataFrame:
-    """Tasks of the labels with too many points for one."""
-    tau, total = float(np.sqrt(max(0.0, 2 - 2 * cosine))), sum(large.values())
-    k = {g: max(1, min(-(-n // task_points), int(max_centres * n / total))) for g, n in large.items()}
+def cover(unit: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """Centres of a cover of these unit vectors, of the smallest radius that needs at most so many, and the radius; else the first ones."""
+    for radius in COVERS:
+        left, centres = np.arange(len(unit)), []
+        while len(left) and len(centres) < most:
+            centres.append(left[0])
+            left = left[unit[left] @ unit[left[0]] < 1 - radius * radius / 2]
+        if not len(left):
+            return unit[centres], radius
+    return unit[:most], COVERS[-1]
+
+
+def _cells(points: DataFrame, large: dict[str, int], cosine: float, task_points: int, max_centres: int, sample: int, ddl: str) -> DataFrame:
+    """Tasks of the labels with too many points for one. Cell 2c holds the points near centre c, cell 2c + 1 those farther that have no nearer centre."""
+    tau, total = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, sum(large.values())
     spark = points.sparkSession
-    number = F.element_at(F.create_map(*[F.lit(x) for pair in k.items() for x in pair]), F.col("g"))
-    picked = points.withColumn("bucket", F.pmod(F.xxhash64("uid", F.lit(3)), number)).groupBy("g", "bucket").agg(F.min_by("v", F.xxhash64("uid", F.lit(4))).alias("v"))
-    centres: dict[str, list] = {}
-    for r in picked.orderBy("g", "bucket").collect():  # max_centres at most, and one per large label
-        centres.setdefault(r["g"], []).append(r["v"])
-    unit = {g: (m := np.array(c, float)) / np.linalg.norm(m, axis=1)[:, None] for g, c in centres.items()}
-    shared = spark.sparkContext.broadcast(unit)
-    fields = pa.schema([("g", pa.string()), ("cell", pa.int32()), ("d", pa.float64())])
-
-    def near(got: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    buckets = F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(sample / total)))
+    picked = points.withColumn("bucket", F.pmod(F.xxhash64("uid", F.lit(3)), buckets)).groupBy("g", "bucket").agg(F.min_by("v", F.xxhash64("uid", F.lit(4))).alias("v"))
+    found: dict[str, list] = {}
+    for r in picked.orderBy("g", "bucket").collect():  # `sample` at most, and one for each large label
+        found.setdefault(r["g"], []).append(r["v"])
+    covers = {g: cover((m := np.array(c, float)) / np.linalg.norm(m, axis=1)[:, None], max(1, int(max_centres * large[g] / total))) for g, c in found.items()}
+    shared = spark.sparkContext.broadcast(covers)
+
+    def near(got: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """By label: rows of the batch, their distances from the centres, their home cells."""
         labels = np.array(got.column("g").to_pylist(), object)
         for g in dict.fromkeys(labels.tolist()):
-            at = np.flatnonzero(labels == g)
-            x = _matrix(got.column("v").take(pa.array(at)))
-            yield g, at, np.sqrt(np.maximum(0, 2 - 2 * (x / np.linalg.norm(x, axis=1)[:, None]) @ shared.value[g].T))
+            rows = np.flatnonzero(labels == g)
+            centres, radius = shared.value[g]
+            for at in np.split(rows, range(512, len(rows), 512)):
+                x = _matrix(got.column("v").take(pa.array(at)))
+                d = np.sqrt(np.maximum(0, 2 - 2 * (x / np.linalg.norm(x, axis=1)[:, None]) @ centres.T))
+                c = d.argmin(1)
+                yield g, at, d, 2 * c + (d[np.arange(len(at)), c] > radius)
+
+    stat = pa.schema([("g", pa.string()), ("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("n", pa.int64())])
 
     def homes(batches):
         for got in batches:
-            for g, at, d in near(got):
-                cell = d.argmin(1)
-                yield batch(fields, [[g] * len(at), cell.astype(np.int32), d.min(1)])
-
-    stats = points.select("g", "v").mapInArrow(homes, "g string, cell int, d double").groupBy("g", "cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
-    radius = {g: np.full(len(c), -np.inf) for g, c in unit.items()}
-    parts = {g: np.zeros(len(c), np.int64) for g, c in unit.items()}
-    for r in stats:
-        radius[r["g"]][r["cell"]] = r["r"]
-        parts[r["g"]][r["cell"]] = -(-r["n"] // task_points)
-    blocks = {g: -(-n // task_points) for g, n in large.items()}
-    told = spark.sparkContext.broadcast((radius, parts, blocks))
-    out = pa.schema([("task", pa.string()), ("uid", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("home", pa.bool_()), ("guest", pa.bool_())])
+            for g, at, d, cell in near(got):
+                own = d[np.arange(len(at)), cell // 2]
+                cells, which = np.unique(cell, return_inverse=True)
+                lo, hi = np.full(len(cells), np.inf), np.zeros(len(cells))
+                np.minimum.at(lo, which, own)
+                np.maximum.at(hi, which, own)
+                yield batch(stat, [[g] * len(cells), cells.astype(np.int32), lo, hi, np.bincount(which)])
+
+    columns = points.select("g", "v")
+    stats = columns.mapInArrow(homes, "g string, cell int, lo double, hi double, n long").groupBy("g", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
+    lows, highs, counts = ({g: np.full(2 * len(c), x) for g, (c, _) in covers.items()} for x in (np.inf, -np.inf, 0))
+    for r in stats:  # two for each centre at most
+        lows[r["g"]][r["cell"]], highs[r["g"]][r["cell"]], counts[r["g"]][r["cell"]] = r["lo"], r["hi"], r["n"]
+    bounds = spark.sparkContext.broadcast((lows, highs))
+
+    def inside(g: str, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells of which they are guests, their own among them."""
+        low, high = (x[g] for x in bounds.value)
+        both = np.repeat(d, 2, 1)
+        return np.nonzero((both >= low - tau) & (both <= high + tau))
+
+    def guests(batches):
+        for got in batches:
+            for g, _, d, _ in near(got):
+                n = np.bincount(inside(g, d)[1])
+                cells = np.flatnonzero(n)
+                none = [None] * len(cells)
+                yield batch(stat, [[g] * len(cells), cells.astype(np.int32), none, none, n[cells]])
+
+    parts = {g: np.maximum(1, -(-n.astype(np.int64) // task_points)) for g, n in counts.items()}
+    blocks = {g: np.ones(len(n), np.int64) for g, n in counts.items()}
+    for r in columns.mapInArrow(guests, "g string, cell int, lo double, hi double, n long").groupBy("g", "cell").agg(F.sum("n").alias("n")).collect():
+        blocks[r["g"]][r["cell"]] = max(1, -(-r["n"] // (2 * task_points)))
+    told = spark.sparkContext.broadcast((parts, blocks))
+    out = pa.schema([("g", pa.string()), ("cell", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("uid", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("home", pa.bool_()), ("guest", pa.bool_())])
 
     def deal(batches):
-        radius, parts, blocks = told.value
         for got in batches:
             ids, n, v = got.column("uid").to_numpy(), got.column("n").to_numpy(), got.column("v").cast(pa.list_(pa.float64()))
-            for g, at, d in near(got):
-                cell, h = d.argmin(1), (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                block, part = (h % np.uint64(blocks[g])).astype(int), ((h >> np.uint64(12)) % np.maximum(parts[g][cell], 1).astype(np.uint64)).astype(int)
-                inside = d <= radius[g] + tau + 1e-6
-                tasks, rows, home, guest = [], [], [], []
-                for i in range(len(at)):
-                    for b in range(blocks[g]):
-                        tasks.append(f"{g}/{cell[i]}/{part[i]}/{b}")
-                        rows.append(at[i])
-                        home.append(True)
-                        guest.append(b == block[i])
-                    for c in np.flatnonzero(inside[i]):
-                        for p in range(parts[g][c]):
-                            if c != cell[i] or p != part[i]:
-                                tasks.append(f"{g}/{c}/{p}/{block[i]}")
-                                rows.append(at[i])
-                                home.append(False)
-                                guest.append(True)
-                take = pa.array(rows)
-                yield batch(out, [tasks, ids[rows], n[rows], v.take(take), home, guest])
-
-    return points.mapInArrow(deal, "task string, uid long, n long, v array<double>, home boolean, guest boolean")
+            for g, at, d, home in near(got):
+                parts, blocks = (x[g] for x in told.value)
+                h = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+                i, j = inside(g, d)
+                own = j == home[i]
+                part, block = (h[i] >> np.uint64(12)).astype(np.int64) % parts[j], h[i].astype(np.int64) % blocks[j]
+                # as a guest in each part of a cell; as a home in each block of its own
+                k = np.repeat(np.arange(len(i)), parts[j])
+                p = np.arange(len(k)) - np.repeat(np.cumsum(parts[j]) - parts[j], parts[j])
+                at_home = own[k] & (p == part[k])
+                x = np.flatnonzero(own)
+                e = np.repeat(x, blocks[j[x]])
+                b = np.arange(len(e)) - np.repeat(np.cumsum(blocks[j[x]]) - blocks[j[x]], blocks[j[x]])
+                e, b = e[b != block[e]], b[b != block[e]]
+                both = np.concatenate([k, e])
+                rows = at[i[both]]
+                yield batch(out, [pa.array([g] * len(rows)), j[both].astype(np.int32), np.concatenate([p, part[e]]).astype(np.int32), np.concatenate([block[k], b]).astype(np.int32), ids[rows], n[rows], v.take(pa.array(rows)),
+                                  np.concatenate([at_home, np.ones(len(e), bool)]), np.concatenate([np.ones(len(k), bool), np.zeros(len(e), bool)])])
+
+    return points.select("g", "uid", "n", "v").mapInArrow(deal, ddl)

@@ -37,7 +37,7 @@ def fixture(n=150):
     return rows
 
 
-@pytest.mark.parametrize("points,cosine", [(4096, 0.93), (20, 0.93), (9, 0.7), (4096, 0.999)])
+@pytest.mark.parametrize("points,cosine", [(4096, 0.93), (20, 0.93), (9, 0.7), (3, 0.93), (4096, 0.999)])
 def test_against_brute_force(spark, points, cosine):
     rows = fixture()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
@@ -45,6 +45,30 @@ def test_against_brute_force(spark, points, cosine):
     assert sorted(map(tuple, got), key=str) == brute(rows, cosine)
 
 
+def test_extreme_lengths(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1e-310, 2e-310], 1), (4, [2e200, -1e200], 1), (5, [1.0, 2.0], 1), (6, [1.7e308, 1.7e308], 1), (7, [1.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.99).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (1, 6), 7: (1, 6)}
+
+
+def test_small_clusters_of_a_large_label_are_dealt_about_once(spark):
+    rng = np.random.default_rng(5)
+    n = {}
+    for clusters in (40, 160):
+        centres = rng.normal(size=(clusters, 32))
+        x = np.repeat(centres, 25, 0) + rng.normal(size=(clusters * 25, 32)) * 0.05
+        points = spark.createDataFrame([(i, 1, "32:0", v.tolist(), len(x)) for i, v in enumerate(x)], "uid long, n long, g string, v array<double>, size long")
+        dealt = neardup._cells(points, {"32:0": len(x)}, 0.93, 100, 4096, 16_384, "g string, cell int, part int, block int, uid long, n long, v array<double>, home boolean, guest boolean")
+        n[clusters] = dealt.count() / len(x)
+    assert max(n.values()) < 2
+
+
+def test_equal_first_hashes_and_extra_columns(spark):
+    rows = fixture(60)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "label as uid", "1 as n_links")
+    assert sorted(map(tuple, neardup.link(df, 0.93, bits=3).collect()), key=str) == brute(rows, 0.93)
+
+
 def test_whole_pairs_of_nodes_are_counted():
     rng = np.random.default_rng(3)
     x = np.ones((60, 16)) + rng.normal(size=(60, 16)) * 1e-3

@@ -1,13 +1,14 @@
 """WARC archives as a Python data source (format "warc"), for reading and writing.
 
 Writing: a task writes one .warc.gz file, a gzip member per record, and beside it an index (.idx) with the offset, length
-and type of every member. The driver publishes, on commit, the list of the files that count; those of failed or
-repeated tasks are not on it.
+and type of every member. The driver publishes, on commit, the list of the files that count, those of failed or repeated
+tasks not among them, and of each file which stretches of its index stand for about 8 MB of records.
 
-Reading: partitions are planned from the index: large files are cut between records, small ones share a partition.
-Filters on the record type and other header fields are pushed down. A type that isn't wanted is skipped by the index
-without decompressing anything; of the rest the header is parsed first, and only records whose header passes and
-whose payload is asked for are decoded further.
+Reading: partitions are planned from these stretches alone: large files are cut between records, small ones share a
+partition, and the driver opens no index. A task reads its own stretch. Without a list, a file is a partition, with its
+index if there is one. Filters on the record type and other header fields are pushed down. A type that isn't wanted is
+skipped by the index without decompressing anything; of the rest the header is parsed first, and only records whose
+header passes and whose payload is asked for are decoded further.
 
 Paths are URIs that pyarrow's file systems open (file, hdfs, s3, gs).
 """
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from sedge.llm.common import shared_dir
+from sedge.llm.common import cut, shared_dir
 
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, refers_to_id string, payload_digest string, "
           "content_length long, http_status int, http_length long, page_id long, refers_to long, payload binary")
 FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 MANIFEST = "_files.json"
+STRETCH = 8 << 20  # bytes of records that a stretch of an index stands for
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -130,7 +132,7 @@ def inflated(f, path: str) -> Iterator[bytes]:
 
 @dataclass
 class Part(InputPartition):
-    pieces: list  # (path, [(offset, length)]) or (path, None) for a file without an index
+    pieces: list  # (path, first and last byte of a stretch of its index); None: of a file that isn't on a list
 
 
 class WarcReader(DataSourceReader):
@@ -165,51 +167,37 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        if info.type == fs.FileType.File:
-            files = [root]
-        elif system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+        if info.type != fs.FileType.File and system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
             with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = [f"{root}/{x}" for x in json.loads(f.read())]
+                pieces = [(f"{root}/{x}", a, b, size) for x, stretches in json.loads(f.read()) for a, b, size in stretches]
         else:
-            files = sorted(x.path for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz")))
+            files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
+            pieces = sorted((x.path, None, None, x.size) for x in files if info.type == fs.FileType.File or x.path.endswith((".warc", ".warc.gz")))
         parts, own, room = [], [], self.size
-
-        def close():
-            nonlocal own, room
-            if own:
+        for path, a, b, size in pieces:
+            if own and room < size:
                 parts.append(Part(own))
-            own, room = [], self.size
+                own, room = [], self.size
+            own.append((path, a, b))
+            room -= size
+        return [*parts, Part(own)]
 
-        for path in files:
-            index = system.get_file_info(f"{path}.idx")
-            if index.type != fs.FileType.File:
-                close()
-                parts.append(Part([(path, None)]))
-                continue
-            with system.open_input_stream(f"{path}.idx") as f:
-                entries = [x.split() for x in f.read().decode().splitlines()]
-            piece = []
-            for offset, length, kind in entries:
-                if not self.wanted("record_type", kind):
-                    continue
-                if room < int(length) and (piece or own):
-                    if piece:
-                        own.append((path, piece))
-                    piece = []
-                    close()
-                piece.append((int(offset), int(length)))
-                room -= int(length)
-            if piece:
-                own.append((path, piece))
-        close()
-        return parts or [Part([])]
-
-    def _members(self, path: str, ranges) -> Iterator[Member]:
+    def _members(self, path: str, a: int | None, b: int | None) -> Iterator[Member]:
         system, _ = opened(self.path)
-        if ranges is not None:
+        indexed = a is not None
+        if not indexed:
+            from pyarrow import fs
+
+            index = system.get_file_info(f"{path}.idx")
+            indexed, a, b = index.type == fs.FileType.File, 0, index.size
+        if indexed:
+            with system.open_input_file(f"{path}.idx") as f:
+                entries = f.read_at(b - a, a).decode().split("\n")
             with system.open_input_file(path) as f:
-                for offset, length in ranges:
-                    yield Member(f.read_at(length, offset))
+                for entry in entries:
+                    offset, length, kind = entry.split()
+                    if self.wanted("record_type", kind):
+                        yield Member(f.read_at(int(length), int(offset)))
             return
         with system.open_input_stream(path, compression=None) as f:  # records one after another, without an index
             blocks = inflated(f, path) if path.endswith(".gz") else iter(lambda: f.read(1 << 20), b"")
@@ -238,8 +226,8 @@ class WarcReader(DataSourceReader):
                 at = end
 
     def read(self, partition: Part):
-        for path, ranges in partition.pieces:
-            for member in self._members(path, ranges):
+        for path, a, b in partition.pieces:
+            for member in self._members(path, a, b):
                 raw = member.head()
                 if raw is None:
                     raise ValueError(f"a record without a header in {path}")
@@ -264,7 +252,7 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list
+    files: list  # name, and of each stretch of its index the first and last byte, and the bytes of its records
 
 
 class WarcWriter(DataSourceWriter):
@@ -279,7 +267,7 @@ class WarcWriter(DataSourceWriter):
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.gz"
-        entries, at, sink = [], 0, None
+        entries, at, sink, stretches, size = [], 0, None, [], 0
         try:
             for r in rows:
                 if sink is None:
@@ -298,9 +286,18 @@ class WarcWriter(DataSourceWriter):
                 sink.close()
         if sink is None:
             return Written([])
+        begin = end = 0
+        for entry in entries:
+            size += int(entry.split()[1])
+            end += len(entry) + 1
+            if size >= STRETCH:
+                stretches.append((begin, end - 1, size))
+                begin, size = end, 0
+        if size:
+            stretches.append((begin, end - 1, size))
         with system.open_output_stream(f"{root}/{name}.idx", compression=None) as f:
             f.write("\n".join(entries).encode())
-        return Written([name])
+        return Written([(name, stretches)])
 
     def commit(self, messages):
         system, root = opened(self.path)
@@ -310,8 +307,9 @@ class WarcWriter(DataSourceWriter):
 
     def abort(self, messages):
         system, root = opened(self.path)
-        for x in (x for m in messages if m for x in m.files):
-            system.delete_file(f"{root}/{x}")
+        for x, _ in (x for m in messages if m for x in m.files):
+            for name in (x, f"{x}.idx"):
+                system.delete_file(f"{root}/{name}")
 
 
 class Warc(DataSource):
@@ -345,18 +343,23 @@ def register(spark: SparkSession) -> None:
 SALTS = 16
 
 
-def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", most: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
     """page_id, url, payload, payload_digest (hex), record_type, refers_to, refers_uri.
 
     Of rows with equal payloads those with the largest id are responses and the others revisit them; null payloads are
-    empty ones. Only digests are grouped; those that repeat are joined back, salted."""
+    empty ones. Only digests are grouped; those that repeat are joined back. They are broadcast, and no payload is shuffled,
+    if they are at most `most` and their addresses `most_bytes`, which is counted; else the join is salted."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     hashed = own.withColumn("payload_digest", F.sha1("payload"))
     digests = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.sha1(F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")).alias("payload_digest"))
     many = digests.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    spread = many.select("payload_digest", F.col("top.page_id").alias("top"), F.col("top.url").alias("top_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    both = salted.join(spread, ["payload_digest", "salt"], "left")
+    many = cut(many.select("payload_digest", F.col("top.page_id").alias("top"), F.col("top.url").alias("top_url")), "warc-repeated")
+    n, size = many.agg(F.count("*"), F.coalesce(F.sum(F.length("top_url")), F.lit(0))).first()
+    if n <= most and size <= most_bytes:
+        both = hashed.join(F.broadcast(many), "payload_digest", "left")
+    else:
+        spread = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = hashed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["payload_digest", "salt"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("top")) & F.col("top").isNotNull(), F.lit(False))
     return both.select("page_id", "url", "payload", F.col("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                        F.when(revisit, F.col("top")).alias("refers_to"), F.when(revisit, F.col("top_url")).alias("refers_uri"))

@@ -5,7 +5,8 @@ which terms reveal them: with D the number of documents, df the number that hold
 number that hold t within `reach` words of e, the information that t gives away about e is the pointwise mutual
 information log2(D df(e, t) / (df(e) df(t))), and e itself is worth IC(e) = log2(D / df(e)). A term met in at least
 `support` distinct contexts of e whose PMI is at least alpha * IC(e) discloses it: wherever both are in one text, it is a
-span of kind `term`. With full disclosure (PMI = IC, the term is never without the entity) it is removed, else generalised.
+span of kind `term`. With full disclosure (PMI = IC, the term is never without the entity) it is removed, else generalised:
+replaced by the most frequent of the terms met with the entity that don't disclose it.
 
 All counts are over all documents; copies of a context count once for the support. Hot entities and terms are pre-aggregated in the tasks.
 """
@@ -31,7 +32,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]{2,}")
 
 Span = tuple[int, int, str]
 
@@ -116,7 +117,7 @@ def _key(*parts: str) -> bytes:
 
 
 def disclosures(docs: DataFrame, alpha: float = 0.8, support: int = 3, reach: int = 8, text_col: str = "text", most: int = 200_000) -> DataFrame:
-    """entity, term, full (boolean): the terms that disclose an entity. Empty if nothing does.
+    """entity, term, full (boolean), instead: the terms that disclose an entity, and what stands for them ("" if they are removed). Empty if nothing does.
 
     `most`: candidate terms up to which their set is sent to the tasks that count them; with more, all terms are counted."""
     small_batches(docs.sparkSession)
@@ -144,7 +145,7 @@ def disclosures(docs: DataFrame, alpha: float = 0.8, support: int = 3, reach: in
     pair = counted.where("t <> ''")
     some = pair.select("t").distinct().limit(most + 1).collect()
     if not some:
-        return counted.select(F.col("e").alias("entity"), F.col("t").alias("term"), F.lit(True).alias("full")).where("false")
+        return counted.select(F.col("e").alias("entity"), F.col("t").alias("term"), F.lit(True).alias("full"), F.lit("").alias("instead")).where("false")
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["t"] for r in some) if len(some) <= most else None)
     tallies = pa.schema([("t", pa.string()), ("n", pa.int64())])
 
@@ -165,19 +166,23 @@ def disclosures(docs: DataFrame, alpha: float = 0.8, support: int = 3, reach: in
     total = float(df.where("t = ''").first()["df_t"])
     own = counted.where("t = ''").select("e", F.col("docs").alias("df_e"))
     pmi = F.log2(F.lit(total) * F.col("docs") / (F.col("df_e") * F.col("df_t")))
-    scored = pair.join(own, "e").join(df, "t").withColumns({"pmi": pmi, "ic": F.log2(F.lit(total) / F.col("df_e"))})
-    return scored.where(f"ic > 0 and pmi >= ic * {float(alpha)!r}").select(F.col("e").alias("entity"), F.col("t").alias("term"), (F.col("docs") == F.col("df_t")).alias("full"))
+    scored = pair.join(own, "e").join(df, "t").withColumns({"pmi": pmi, "ic": F.log2(F.lit(total) / F.col("df_e"))}).where("ic > 0")
+    tells = F.col("pmi") >= F.col("ic") * F.lit(float(alpha))
+    general = scored.where(~tells).groupBy("e").agg(F.max_by("t", F.struct("df_t", "t")).alias("general"))
+    full = F.col("docs") == F.col("df_t")
+    instead = F.when(full, "").otherwise(F.coalesce("general", F.lit("[TERM]")))
+    return scored.where(tells).join(general, "e", "left").select(F.col("e").alias("entity"), F.col("t").alias("term"), full.alias("full"), instead.alias("instead"))
 
 
-def spans_of(text: str, known: dict[str, dict[str, bool]]) -> tuple[list[Span], list[Span], set[str]]:
-    """Base spans, all spans, and the terms to be removed rather than generalised. known: terms by entity."""
+def spans_of(text: str, known: dict[str, dict[str, str]]) -> tuple[list[Span], list[Span], dict[str, str]]:
+    """Base spans, all spans, and what stands for the terms among them. known: by entity the terms with what stands for them."""
     base = base_spans(text)
-    terms: dict[str, bool] = {}
+    terms: dict[str, str] = {}
     for span in base:
-        for t, full in known.get(entity(text, span), {}).items():
-            terms[t] = terms.get(t, False) or full
+        for t, instead in known.get(entity(text, span), {}).items():
+            terms[t] = min(terms.get(t, instead), instead)  # what one entity demands to be removed is
     if not terms:
-        return base, base, set()
+        return base, base, {}
     taken, found, k = merge(base), list(base), 0
     for m in _TERM.finditer(text):
         if m[0].lower() in terms:
@@ -185,17 +190,14 @@ def spans_of(text: str, known: dict[str, dict[str, bool]]) -> tuple[list[Span],
                 k += 1
             if k == len(taken) or taken[k][0] >= m.end():
                 found.append((m.start(), m.end(), "term"))
-    return base, sorted(found, key=lambda s: (s[0], _RANK[s[2]])), {t for t, full in terms.items() if full}
+    return base, sorted(found, key=lambda s: (s[0], _RANK[s[2]])), terms
 
 
-def redact(text: str, spans: list[Span], removed: set[str]) -> str:
+def redact(text: str, spans: list[Span], terms: dict[str, str]) -> str:
     out, at = [], 0
     for a, b, kind in merge(spans):
         out.append(text[at:a])
-        if kind != "term":
-            out.append(f"[{kind.upper()}]")
-        elif text[a:b].lower() not in removed:
-            out.append("[TERM]")
+        out.append(terms[text[a:b].lower()] if kind == "term" else f"[{kind.upper()}]")
         at = b
     return "".join([*out, text[at:]])
 
@@ -210,17 +212,17 @@ def detect(docs: DataFrame, found: DataFrame | None = None, text_col: str = "tex
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "__known"]
     base = docs.select(*[F.col(f"`{c}`") for c in names])
-    known: dict[str, dict[str, bool]] = {}
+    known: dict[str, dict[str, str]] = {}
     large = False
     if found is not None:
         found = cut(found, "pii-disclosures")
         rows = found.limit(most + 1).collect()
         large = len(rows) > most
         for r in rows if not large else []:
-            known.setdefault(r["entity"], {})[r["term"]] = r["full"]
+            known.setdefault(r["entity"], {})[r["term"]] = r["instead"]
     if large:
         listed = base.select(F.xxhash64(text_col, F.lit(5)).alias("__h"), F.col(text_col).alias("text")).mapInArrow(_entities, "__h long, entity string").distinct()
-        own = listed.join(found, "entity").groupBy("__h", "term").agg(F.max("full").alias("full")).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("term", "full"))).alias("__known"))
+        own = listed.join(found, "entity").groupBy("__h", "term").agg(F.min("instead").alias("instead")).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("term", "instead"))).alias("__known"))
         base = base.withColumn("__h", F.xxhash64(text_col, F.lit(5))).join(own, "__h", "left").drop("__h")
     shared = spark.sparkContext.broadcast(known)
 

@@ -118,7 +118,7 @@ class Keys:
             d = self.rule.differ(self.edges[i + 1] - 1)
             if not d:
                 continue
-            same = 3 + d // 8
+            same = 3 + d // 3
             parts = U(d + same)
             place = (own >> U(8)) % parts
             order = np.argsort(place, kind="stable")
@@ -244,7 +244,7 @@ def _arrays(column: list) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in column]
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 150_000, pivots: int = 8, bits: int = 64) -> DataFrame:
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_elements: int = 400_000, pivots: int = 8, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every row.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own id. Equal sets are
@@ -328,9 +328,9 @@ def _blocks(source: DataFrame, k: int, percent: int, name) -> DataFrame:
     for i in range(2):
         if i:  # keys shared only with sets that went
             several = found.groupBy("group").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("group")
-            found = cut(lookup(found, several, "group", "inner"), "jaccard-keys")
+            found = cut(found.join(several, "group", "left_semi"), "jaccard-keys")
         enough = found.groupBy("own").agg(F.sum("n").alias("total"), F.min("least").alias("need")).where("total >= need").select("own")
-        found = cut(lookup(found, enough, "own", "inner"), "jaccard-keys")
+        found = cut(found.join(enough, "own", "left_semi"), "jaccard-keys")
     return cut(components(found.select(F.col("sid").alias("a"), F.col("group").alias("b"))), "jaccard-blocks").select(F.col("node").alias("sid"), F.col("root").alias("block"))
 
 

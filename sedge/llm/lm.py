@@ -97,7 +97,7 @@ class Words(dict):
 
     def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, cells, slots and counts (-1: not among the most frequent) of words by number."""
-        return tuple(np.frombuffer(a, t)[ids] for a, t in ((self.symbol, np.uint32), (self.cell, np.uint8), (self.slot, np.uint8), (self.count, np.int64)))
+        return tuple(np.take(np.frombuffer(a, t), ids) for a, t in ((self.symbol, np.uint32), (self.cell, np.uint8), (self.slot, np.uint8), (self.count, np.int64)))
 
     def of(self, text: str | None) -> np.ndarray:
         own = words(text)
@@ -142,7 +142,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     """In place; priors are logarithms of probabilities, so nothing overflows below hundreds of nats of evidence."""
     np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
@@ -193,7 +193,7 @@ class Trainer(Model):
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             met = flat[first].astype(np.int64)
-            gradient = np.add.reduceat(np.take(p, order % len(cell), 0).view(np.complex64), first, axis=0).view(F32)  # two columns at a time
+            gradient = np.add.reduceat(np.take(p, np.take(np.tile(at, len(rows)), order), 0).view(np.complex64), first, axis=0).view(F32)  # two columns at a time
             self.had[level][met] += np.einsum("ij,ij->i", gradient, gradient)
             gradient *= (self.rate / np.sqrt(self.had[level][met]))[:, None].astype(F32)
             self.tables[level][met] -= gradient
@@ -386,15 +386,16 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = 3, id_col: str = "doc_
             log += np.where(in_rest, word_log - rest_log[cell], 0.0)
             n = np.diff(np.r_[starts, len(ids)])
             of = np.arange(rid, rid + len(keys))
-            none, rows = [None] * len(keys), len(keys)
-            yield batch(fields, [of, [k[0] for k in keys], [k[1] for k in keys], n, np.add.reduceat(head, starts, dtype=np.int64), np.add.reduceat(word_log, starts) - n * all_log, np.add.reduceat(log, starts), none, none])
+            rows = len(keys)
+            none = [pa.nulls(rows, f.type) for f in fields]
+            yield batch(fields, [of, [k[0] for k in keys], [k[1] for k in keys], n, np.add.reduceat(head, starts, dtype=np.int64), np.add.reduceat(word_log, starts) - n * all_log, np.add.reduceat(log, starts), *none[7:]])
             tail = np.flatnonzero(~head)
             if len(tail):
                 pairs, tf = np.unique(np.repeat(np.arange(rows), n)[tail].astype(np.int64) << 32 | ids[tail], return_counts=True)
                 named = own.words
                 numbers = (pairs & 0xFFFFFFFF).tolist()
-                none = [None] * len(pairs)
-                yield batch(fields, [rid + (pairs >> 32), none, none, none, none, none, none, [named[i] for i in numbers], tf.astype(np.int32)])
+                none = [pa.nulls(len(pairs), f.type) for f in fields]
+                yield batch(fields, [rid + (pairs >> 32), *none[1:7], [named[i] for i in numbers], tf.astype(np.int32)])
             rid += rows
 
     table = cut(source.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, w binary, tf int"), "lm-scores")

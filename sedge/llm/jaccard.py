@@ -15,8 +15,8 @@ least a threshold. The result is exact (but for collisions of 64-bit hashes with
 4. Blocks too large for one task are searched in pieces: those linked to a pivot are connected; the others are the
    queries, asked in batches against all members of the block in chunks.
 
-Hot keys: a task sends a key's first set of a buffer, and links its others to that, so a group of near copies reaches the
-shuffle of keys as a row for each buffer.
+Hot keys: of the sets in a task's buffer that share a key, a node that stands for them is sent, so a group of near copies
+reaches the shuffle of keys as a row for each buffer.
 """
 
 from __future__ import annotations
@@ -136,24 +136,26 @@ class Keys:
 
 
 def combined(keys: np.ndarray, sets: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows key, set, count << 32 | tag: each key once, with its first set, which stands for the others that have it.
+    """Rows key, set, count << 32 | tag: a key of one set as it is; of several, a node that is no set stands for them.
 
-    These get a key of that set and band instead, with a count of such keys. A set that stands for others connects them,
-    so it must stay: it needs no shared keys."""
+    The node goes by the first of them and the band. It has each such key, once, and needs no shared keys itself; it and
+    these sets have a key of the node in common, with a count of the keys for each set. So sets that go later part nothing."""
     order = np.argsort(keys, kind="stable")
     keys, sets, tags = keys[order], sets[order], tags[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[first, len(keys)])
     lead = np.repeat(sets[first], size)
-    other = lead != sets
-    stands = np.logical_or.reduceat(other, first)
-    pairs, n = np.unique(np.stack([sets[other], lead[other], tags[other]], 1), axis=0, return_counts=True)
-    leads = np.unique(np.stack([lead[other], tags[other] >> 16 << 16], 1), axis=0)
-    key = lambda of, tag: mix(mix(of.astype(U)) + (tag >> 16).astype(U) * _A).view(np.int64)
-    info = tags[first] >> 16 << 16
-    info = np.where(stands, info, tags[first]) | 1 << 32
-    return (np.concatenate([keys[first].view(np.int64), key(pairs[:, 1], pairs[:, 2]), key(leads[:, 0], leads[:, 1])]),
-            np.concatenate([sets[first], pairs[:, 0], leads[:, 0]]), np.concatenate([info, n.astype(np.int64) << 32 | pairs[:, 2], leads[:, 1] | 1 << 32]))
+    several = np.logical_or.reduceat(lead != sets, first)
+    within = np.repeat(several, size)
+    members, n = np.unique(np.stack([sets[within], lead[within], tags[within]], 1), axis=0, return_counts=True)
+    one, stand = first[~several], first[several]
+    node = lambda of, tag: mix(mix(of.astype(U)) + (tag >> 16).astype(U) * _A)
+    nodes = node(sets[stand], tags[stand])
+    unique, at = np.unique(nodes, return_index=True)
+    empty = tags[stand] >> 16 << 16 | 1 << 32
+    return (np.concatenate([keys[one].view(np.int64), keys[stand].view(np.int64), mix(unique + _B).view(np.int64), mix(node(members[:, 1], members[:, 2]) + _B).view(np.int64)]),
+            np.concatenate([sets[one], nodes.view(np.int64), unique.view(np.int64), members[:, 0]]),
+            np.concatenate([tags[one] | 1 << 32, empty, empty[at], n.astype(np.int64) << 32 | members[:, 2]]))
 
 
 class Index:

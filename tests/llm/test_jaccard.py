@@ -107,10 +107,11 @@ def test_linked_sets_share_the_keys_they_need(percent):
 def test_hot_keys_are_combined():
     keys, sets, tags = np.repeat(np.arange(5, dtype=np.uint64), 1000), np.tile(np.arange(1000), 5), np.full(5000, 3 << 16 | 2)
     key, sid, info = jaccard.combined(np.r_[keys, np.uint64(99)], np.r_[sets, 7], np.r_[tags, 3 << 16 | 2])
-    assert len(key) == 6 + 999 + 1 and sorted(sid.tolist())[:6] == [0] * 6
-    alone = dict(zip(key.tolist(), info.tolist(), strict=True))[99]
-    assert alone == 1 << 32 | 3 << 16 | 2
-    assert {i >> 32 for i, s in zip(info.tolist(), sid.tolist(), strict=True) if s not in (0, 7)} == {5}
+    assert len(key) == 5 + 1 + 1 + 1000  # the hot keys once each for the node, one that is alone, the node's own key and its sets
+    alone = [(s, i) for k, s, i in zip(key.tolist(), sid.tolist(), info.tolist(), strict=True) if k == 99]
+    assert alone == [(7, 1 << 32 | 3 << 16 | 2)]
+    assert sorted((s, i >> 32, i & 0xFFFF) for s, i in zip(sid.tolist(), info.tolist(), strict=True) if 0 <= s < 1000 and i >> 32 == 5) == [(s, 5, 2) for s in range(1000)]
+    assert {(i >> 32, i & 0xFFFF) for s, i in zip(sid.tolist(), info.tolist(), strict=True) if not 0 <= s < 1000} == {(1, 0)}
 
 
 def test_buffers_and_tasks_change_nothing(spark):

@@ -5,8 +5,8 @@ classes of 16 cells of 16 slots. A word's cell is its ending (the most frequent
 one, the end of a text has its own); endings that end alike are in one class. A cell has slots for its most frequent
 words; the last slot stands for all its other words, which share it by smoothed counts, one unknown word included, so the
 model is a distribution. All three softmaxes are log-linear in hashed features of the history: the last word, skips to the
-second and third last, and the last two together for the class, the last word and the skip to the second last for the cell,
-the last word for the slot; rare words of the history count by their ending. They start from the counts, so that features
+second and third last, and the last two together; the ending's softmax has the first three of these, the slot's the first
+two; rare words of the history count by their ending. They start from the counts, so that features
 only learn what the history adds.
 
 Training: the training documents are dealt into rounds. In each, every task starts from the shared parameters, makes
@@ -38,7 +38,7 @@ from sedge.llm.common import batch, cut, fold, rows_of, small_batches, worker_ca
 END = b"\n"  # no word holds white space
 WAYS, ROWS = 16, 1 << 15  # branches of each softmax; rows of its table
 CELLS = WAYS * WAYS
-USED = (4, 2, 1)  # features of each softmax
+USED = (4, 3, 2)  # features of each softmax
 HEAD, CONTEXT = 131_072, 8_192
 BLOCK = 2048
 F32 = np.float32

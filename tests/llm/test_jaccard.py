@@ -1,10 +1,12 @@
 import random
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedge.llm import jaccard
-from sedge.llm.components import components
+from sedge.llm.components import components, lookup
 from tests.llm.helpers import docs, edge_rows, words
 
 
@@ -139,6 +141,32 @@ def test_components_in_rounds_and_at_once(spark):
     assert at_once == rounds == {(n, r) for n, r in root.items() if any(root[a] == r and a != b for a, b in pairs)}
 
 
+def test_broadcasts_dont_grow_with_the_rows(spark, monkeypatch):
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append((df.columns, df.count())) or broadcast(df))
+    rows = spark.range(120_000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 1000 = 1 then null else id end as key")
+    table = spark.range(60_000).selectExpr("id as key", "id + 1 as x")
+    for how in ("left", "inner"):
+        got = lookup(rows, table, "key", how).selectExpr("count(*)", "count(x)", "count(distinct id)", "sum(if(x <> key + 1, 1, 0))").first()
+        want = rows.join(table, "key", how).selectExpr("count(*)", "count(x)", "count(distinct id)", "sum(if(x <> key + 1, 1, 0))").first()
+        assert tuple(got) == tuple(want)
+    assert max(n for _, n in seen) <= 50_000
+    seen.clear()
+    jaccard.link(docs(spark, near_copies()), k=4, percent=85).collect()
+    assert not [columns for columns, _ in seen if "block" in columns]  # sets that are searched
+
+
+def test_more_members_than_tasks_are_told(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_search", partial(jaccard._search, most_members=3))
+    rows = near_copies() + [(500 + (i or 0), t) for i, t in edge_rows()] + [(None, t) for _, t in near_copies()[:4]]
+    assert sorted(map(tuple, jaccard.link(docs(spark, rows), k=4, percent=85).collect()), key=str) == brute(rows)
+
+
+def test_members_without_an_id_and_with_one_id(spark):
+    rows = near_copies() + [(None, t + " more") for _, t in near_copies()[:9]] + [(0, t) for _, t in near_copies(3)]
+    assert sorted(map(tuple, jaccard.link(docs(spark, rows), k=4, percent=85).collect()), key=str) == brute(rows)
+
+
 def test_extra_columns(spark):
     df = docs(spark, near_copies(4))
     clash = df.withColumnRenamed("lang", "sid").withColumnRenamed("source", "component_id")

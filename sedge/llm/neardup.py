@@ -10,7 +10,8 @@ into cells around centres, a level of its tree: the smallest radius whose cover
 has its home in the cell of the nearest centre (within the radius, or beyond it), and is a guest of every cell that holds a
 point within tau, as told by its distance from the centre and by the least and greatest distance of the cell's points. So
 points in small clusters stay in one cell. Cells, and guests, beyond a task's bound are cut by hash, and every pair of
-parts of one cell is a task of bounded size. Links are counted, not listed; what connects points is a star for each task
+parts of one cell is a task of bounded size. A label of which most vectors are far from all others has no such cover: it is
+cut into blocks, and every pair of blocks is a task, in which the links of both are counted. Links are counted, not listed; what connects points is a star for each task
 and component.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.common import batch, cut, small_batches
-from sedge.llm.components import components, lookup
+from sedge.llm.components import components, lookup, stars
 
 SLACK = 1e-7
+PAIRED = -1  # as a cell: a pair of blocks of a label without a cover
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
+PAIRS = 1 << 16  # pairs of vectors that are compared at a time
 COVERS = (0.4, 0.55, 0.75, 1.0)  # radii of cells that are tried
 
 
@@ -40,10 +43,17 @@ class CoverTree:
         groups = [(0, np.arange(n))]  # centre and points of each node, the centre among them
         for depth in range(len(RADII)):
             centres = np.array([c for c, _ in groups], np.int64)
-            cover = np.array([np.sqrt(np.maximum(0, 2 - 2 * (unit[p] @ unit[c])).max(initial=0)) for c, p in groups])
+            cover = np.array([np.sqrt(np.maximum(0, 2 - 2 * (unit[p] @ unit[c])).max()) if len(p) > 1 else 0.0 for c, p in groups])
             inner, counts = [], []
             for c, points in groups:
-                own = [(int(p), points[i : i + 1]) for i, p in enumerate(points)] if depth == len(RADII) - 1 else self._cover(c, points, RADII[depth + 1])
+                if len(points) == 1:
+                    own = [(int(points[0]), points)]
+                elif depth == len(RADII) - 1:
+                    own = [(int(p), points[i : i + 1]) for i, p in enumerate(points)]
+                else:
+                    own = self._cover(c, points, RADII[depth + 1])
+                    if 2 * len(own) > len(points) and depth + 2 < len(RADII):  # few and loose: a radius that gathers little only blurs
+                        own = self._cover(c, points, RADII[depth + 2])
                 inner += own
                 counts.append(len(own))
             self.levels.append((centres, np.r_[0, np.cumsum(counts)], cover))
@@ -58,86 +68,116 @@ class CoverTree:
 
     def _cover(self, centre: int, points: np.ndarray, radius: float) -> list[tuple[int, np.ndarray]]:
         """Centres farther than radius from one another that cover the points; the node's own centre is the first."""
-        out, left, c = [], points, centre
+        out, left, asked = [], points, np.array([centre])
         bound = 1 - radius * radius / 2
-        while len(left):
-            near = self.unit[left] @ self.unit[c] >= bound
-            near[left == c] = True
-            out.append((int(c), left[near]))
-            left = left[~near]
-            c = left[0] if len(left) else c
+        while len(left):  # a centre is asked for, then the first of those left, many at a time
+            near = self.unit[asked] @ self.unit[left].T >= bound
+            free = np.ones(len(left), bool)
+            for i, c in enumerate(asked.tolist()):
+                at = i if len(out) else int(np.flatnonzero(left == c)[0])
+                if free[at]:
+                    near[i, at] = True
+                    own = np.flatnonzero(near[i] & free)
+                    free[own] = False
+                    out.append((c, left[own]))
+            left = left[free]
+            asked = left[:256]
         return out
 
 
 def traverse(a: CoverTree, b: CoverTree, cosine: float, exact) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Yields (points of a, points of b, whole): whole: all pairs of the two link; else the two run in parallel, a link each.
 
-    exact(points of a, points of b): their cosines as a matrix."""
+    exact(points of a, points of b): their cosines, pair by pair. Two nodes of a point each need no further level."""
     tau = np.sqrt(max(0.0, 2 - 2 * cosine))
     pairs = {0: np.array([0])} if len(a.points) and len(b.points) else {}
+
+    def linked(p: np.ndarray, q: np.ndarray):
+        for at in range(0, len(p), PAIRS):
+            x, y = p[at : at + PAIRS], q[at : at + PAIRS]
+            keep = exact(x, y) >= cosine
+            if keep.any():
+                yield x[keep], y[keep], False
+
     for depth in range(len(RADII)):
         last = depth == len(RADII) - 1
-        (ca, oa, ra), (cb, ob, rb) = a.levels[depth], b.levels[depth]
-        following: dict[int, np.ndarray] = {}
+        (_, oa, _), (_, ob, _) = a.levels[depth], b.levels[depth]
+        following: dict[int, list] = {}
         for i, js in pairs.items():
             own = np.arange(oa[i], oa[i + 1])
             other = np.concatenate([np.arange(ob[j], ob[j + 1]) for j in js])
             if last:
-                p, q = a.points[own], b.points[other]
-                x, y = np.nonzero(exact(p, q) >= cosine)
-                if len(x):
-                    yield p[x], q[y], False
+                yield from linked(a.points[np.repeat(own, len(other))], b.points[np.tile(other, len(own))])
                 continue
-            na, nb = a.levels[depth + 1], b.levels[depth + 1]
-            d = np.sqrt(np.maximum(0, 2 - 2 * (a.unit[na[0][own]] @ b.unit[nb[0][other]].T)))
-            reach = na[2][own][:, None] + nb[2][other][None, :]
-            whole = d + reach <= tau - SLACK
-            some = (d - reach <= tau + SLACK) & ~whole
-            for x, y in zip(*np.nonzero(whole), strict=True):
-                ea, eb = a.sizes[depth + 1], b.sizes[depth + 1]
-                yield a.points[ea[own[x]] : ea[own[x] + 1]], b.points[eb[other[y]] : eb[other[y] + 1]], True
-            for x in np.flatnonzero(some.any(1)):
-                following[int(own[x])] = other[some[x]]
-        pairs = following
-
-
-def join(home: tuple, guest: tuple, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """home, guest: (ids, multiplicities, vectors). Links of each home point with other points, and (id, id) that connect what is linked."""
+            ea, eb = a.sizes[depth + 1], b.sizes[depth + 1]
+            for x, y, d, reach in _near(a, b, depth + 1, own, other, tau):
+                one = (ea[x + 1] - ea[x] == 1) & (eb[y + 1] - eb[y] == 1)
+                yield from linked(a.points[ea[x[one]]], b.points[eb[y[one]]])
+                whole = (d + reach <= tau - SLACK) & ~one
+                for u, v in zip(x[whole].tolist(), y[whole].tolist(), strict=True):
+                    yield a.points[ea[u] : ea[u + 1]], b.points[eb[v] : eb[v + 1]], True
+                left = np.flatnonzero(~whole & ~one)
+                left = left[np.argsort(x[left], kind="stable")]
+                for at in np.split(left, np.flatnonzero(np.diff(x[left])) + 1) if len(left) else ():
+                    following.setdefault(int(x[at[0]]), []).append(y[at])
+        pairs = {i: np.concatenate(js) for i, js in following.items()}
+
+
+def _near(a: CoverTree, b: CoverTree, depth: int, own: np.ndarray, other: np.ndarray, tau: float) -> Iterator[tuple]:
+    """Nodes of a and b of this level that may hold a link, the distances of their centres, the sums of their radii.
+
+    Single precision, with a margin for its rounding, rules out most; double precision decides. Nodes of b are taken by
+    their radii, so that a few large ones don't make the rest look near."""
+    (ca, _, ra), (cb, _, rb) = a.levels[depth], b.levels[depth]
+    margin = 1e-6 + 2.5e-7 * a.unit.shape[1]
+    kind = np.searchsorted([0.0, *RADII[::-1]], rb[other], "left")
+    for k in np.unique(kind):
+        some = other[kind == k]
+        most = rb[some].max()
+        theirs = b.unit[cb[some]].astype(np.float32).T
+        for at in np.split(own, range(step := max(1, PAIRS * 16 // len(some)), len(own), step)):
+            least = (1 - (tau + SLACK + ra[at] + most) ** 2 / 2 - margin).astype(np.float32)
+            least[tau + SLACK + ra[at] + most >= 2] = -2
+            x, y = np.nonzero(a.unit[ca[at]].astype(np.float32) @ theirs >= least[:, None])
+            for first in range(0, len(x), PAIRS):
+                u, v = at[x[first : first + PAIRS]], some[y[first : first + PAIRS]]
+                d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.unit[ca[u]], b.unit[cb[v]])))
+                reach = ra[u] + rb[v]
+                keep = d - reach <= tau + SLACK
+                yield u[keep], v[keep], d[keep], reach[keep]
+
+
+def join(home: tuple, guest: tuple, cosine: float, both: bool = False) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """home, guest: (ids, multiplicities, vectors). Links of each home point with other points, and (id, id) that connect what is linked.
+
+    both: no point is home and guest, and the links of the guests follow those of the homes."""
     (ha, hn, hv), (ga, gn, gv) = home, guest
     if not len(ha) or not len(ga):
-        return np.zeros(len(ha), np.int64), []
+        return np.zeros(len(ha) + len(ga) * both, np.int64), []
     hl, gl = np.linalg.norm(hv, axis=1), np.linalg.norm(gv, axis=1)
     same = ha is ga
     ta = CoverTree(hv / hl[:, None])
     tb = ta if same else CoverTree(gv / gl[:, None])
-    links, parent = np.zeros(len(ha), np.int64), {}
-
-    def find(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(x: int, y: int) -> None:
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-
-    for p, q, whole in traverse(ta, tb, cosine, lambda p, q: (hv[p] @ gv[q].T) / (hl[p][:, None] * gl[q][None, :])):
+    links, back = np.zeros(len(ha), np.int64), np.zeros(len(ga), np.int64)
+    found, n = [(ha[:0], ha[:0])], 0
+    for p, q, whole in traverse(ta, tb, cosine, lambda p, q: np.einsum("ij,ij->i", hv[p], gv[q]) / (hl[p] * gl[q])):
         if whole:
             links[p] += gn[q].sum()
-            first = int(ga[q[0]])
-            for x in ha[p].tolist():
-                union(x, first)
-            for x in ga[q].tolist():
-                union(x, first)
+            back[q] += hn[p].sum()
+            found += [(ha[p], np.broadcast_to(ga[q[0]], len(p))), (ga[q], np.broadcast_to(ga[q[0]], len(q)))]
         else:
             np.add.at(links, p, gn[q])
-            for x, y in zip(ha[p].tolist(), ga[q].tolist(), strict=True):
-                union(x, y)
-    links -= hn * np.isin(ha, ga)  # a point is its own guest somewhere, and cosines with itself may fall short by rounding
-    return links, [(x, find(x)) for x in parent if find(x) != x]
+            np.add.at(back, q, hn[p])
+            found.append((ha[p], ga[q]))
+        n += len(p) + len(q)
+        if n > 1 << 20:
+            found, n = [stars(*map(np.concatenate, zip(*found, strict=True)))], 0
+    nodes, least = stars(*map(np.concatenate, zip(*found, strict=True)))
+    if both:
+        links = np.concatenate([links, back])
+    else:
+        links -= hn * np.isin(ha, ga)  # a point is its own guest somewhere, and cosines with itself may fall short by rounding
+    return links, list(zip(nodes.tolist(), least.tolist(), strict=True))
 
 
 def _matrix(column) -> np.ndarray:
@@ -191,8 +231,10 @@ def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vecto
         home, guest = (np.asarray(table[k].to_numpy(zero_copy_only=False), bool) for k in ("home", "guest"))
         every = (ids, n, x)
         own = every if home.all() and guest.all() else (ids[home], n[home], x[home])
-        links, edges = join(own, every if own is every else (ids[guest], n[guest], x[guest]), cosine)
-        return pa.table([pa.array([*own[0], *(e[0] for e in edges)], pa.int64()), pa.array([*links, *[None] * len(edges)], pa.int64()), pa.array([*[None] * len(links), *(e[1] for e in edges)], pa.int64())], schema=fields)
+        both = not (home & guest).any() and table["cell"][0].as_py() == PAIRED
+        links, edges = join(own, every if own is every else (ids[guest], n[guest], x[guest]), cosine, both)
+        counted = np.concatenate([own[0], ids[guest]]) if both else own[0]
+        return pa.table([pa.array([*counted, *(e[0] for e in edges)], pa.int64()), pa.array([*links, *[None] * len(edges)], pa.int64()), pa.array([*[None] * len(links), *(e[1] for e in edges)], pa.int64())], schema=fields)
 
     found = cut(dealt.groupBy("g", "cell", "part", "block").applyInArrow(solve, "uid long, links long, to long"), "neardup-links")
     counted = found.where("to is null").groupBy("uid").agg(F.sum("links").alias("links"))
@@ -207,8 +249,8 @@ def link(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vecto
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def cover(unit: np.ndarray, most: int) -> tuple[np.ndarray, float]:
-    """Centres of a cover of these unit vectors, of the smallest radius that needs at most so many, and the radius; else the first ones."""
+def cover(unit: np.ndarray, most: int) -> tuple[np.ndarray, float] | None:
+    """Centres of a cover of these unit vectors, of the smallest radius that needs at most so many, and the radius; None if there is none."""
     for radius in COVERS:
         left, centres = np.arange(len(unit)), []
         while len(left) and len(centres) < most:
@@ -216,11 +258,13 @@ def cover(unit: np.ndarray, most: int) -> tuple[np.ndarray, float]:
             left = left[unit[left] @ unit[left[0]] < 1 - radius * radius / 2]
         if not len(left):
             return unit[centres], radius
-    return unit[:most], COVERS[-1]
+    return None
 
 
 def _cells(points: DataFrame, large: dict[str, int], cosine: float, task_points: int, max_centres: int, sample: int, ddl: str) -> DataFrame:
-    """Tasks of the labels with too many points for one. Cell 2c holds the points near centre c, cell 2c + 1 those farther that have no nearer centre."""
+    """Tasks of the labels with too many points for one. Cell 2c holds the points near centre c, cell 2c + 1 those farther that have no nearer centre.
+
+    Where no cover has few enough centres, or its cells need more rows, a label is cut into blocks by hash, and each pair of them is a task."""
     tau, total = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, sum(large.values())
     spark = points.sparkSession
     buckets = F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(sample / total)))
@@ -228,13 +272,17 @@ def _cells(points: DataFrame, large: dict[str, int], cosine: float, task_points:
     found: dict[str, list] = {}
     for r in picked.orderBy("g", "bucket").collect():  # `sample` at most, and one for each large label
         found.setdefault(r["g"], []).append(r["v"])
-    covers = {g: cover((m := np.array(c, float)) / np.linalg.norm(m, axis=1)[:, None], max(1, int(max_centres * large[g] / total))) for g, c in found.items()}
+    tried = {g: cover((m := np.array(c, float)) / np.linalg.norm(m, axis=1)[:, None], max(1, int(max_centres * large[g] / total))) for g, c in found.items()}
+    covers = {g: c for g, c in tried.items() if c}
+    paired = {g: -(-n // max(task_points, min(4 * task_points, (1 << 21) // int(g.split(":")[0])))) for g, n in large.items()}  # blocks of a label
     shared = spark.sparkContext.broadcast(covers)
 
     def near(got: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
         """By label: rows of the batch, their distances from the centres, their home cells."""
         labels = np.array(got.column("g").to_pylist(), object)
         for g in dict.fromkeys(labels.tolist()):
+            if g not in shared.value:
+                continue
             rows = np.flatnonzero(labels == g)
             centres, radius = shared.value[g]
             for at in np.split(rows, range(512, len(rows), 512)):
@@ -278,16 +326,36 @@ def _cells(points: DataFrame, large: dict[str, int], cosine: float, task_points:
 
     parts = {g: np.maximum(1, -(-n.astype(np.int64) // task_points)) for g, n in counts.items()}
     blocks = {g: np.ones(len(n), np.int64) for g, n in counts.items()}
+    rows_of_cells = dict.fromkeys(counts, 0)
     for r in columns.mapInArrow(guests, "g string, cell int, lo double, hi double, n long").groupBy("g", "cell").agg(F.sum("n").alias("n")).collect():
         blocks[r["g"]][r["cell"]] = max(1, -(-r["n"] // (2 * task_points)))
-    told = spark.sparkContext.broadcast((parts, blocks))
+        rows_of_cells[r["g"]] += r["n"] * int(parts[r["g"]][r["cell"]])
+    for g, n in rows_of_cells.items():
+        if n + int((counts[g] * (blocks[g] - 1)).sum()) <= large[g] * paired[g]:
+            del paired[g]  # it is dealt into cells
+    told = spark.sparkContext.broadcast((parts, blocks, paired))
     out = pa.schema([("g", pa.string()), ("cell", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("uid", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("home", pa.bool_()), ("guest", pa.bool_())])
 
+    def pairs(got: pa.RecordBatch, ids: np.ndarray) -> Iterator[tuple]:
+        """Each point for every pair of blocks its own is in: home in the first, guest in the second."""
+        labels = np.array(got.column("g").to_pylist(), object)
+        for g in dict.fromkeys(labels.tolist()):
+            if k := told.value[2].get(g):
+                every = np.flatnonzero(labels == g)
+                for at in np.split(every, range(step := max(1, 16_384 // k), len(every), step)):
+                    own = (((ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(k)).astype(np.int32).repeat(k)
+                    other = np.tile(np.arange(k, dtype=np.int32), len(at))
+                    yield g, at.repeat(k), np.minimum(own, other), np.maximum(own, other), own <= other, own >= other
+
     def deal(batches):
         for got in batches:
             ids, n, v = got.column("uid").to_numpy(), got.column("n").to_numpy(), got.column("v").cast(pa.list_(pa.float64()))
+            for g, rows, part, block, home, guest in pairs(got, ids):
+                yield batch(out, [pa.array([g] * len(rows)), np.full(len(rows), PAIRED, np.int32), part, block, ids[rows], n[rows], v.take(pa.array(rows)), home, guest])
             for g, at, d, home in near(got):
-                parts, blocks = (x[g] for x in told.value)
+                if g in told.value[2]:
+                    continue
+                parts, blocks = (x[g] for x in told.value[:2])
                 h = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 i, j = inside(g, d)
                 own = j == home[i]

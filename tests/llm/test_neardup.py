@@ -63,6 +63,34 @@ def test_small_clusters_of_a_large_label_are_dealt_about_once(spark):
     assert max(n.values()) < 2
 
 
+def scattered(n, clusters=6):
+    """Vectors far from all others, and a fifth of all in tight clusters."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 64))
+    at = rng.choice(n, n // 5, replace=False)
+    x[at] = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(at))] + rng.normal(size=(len(at), 64)) * 0.06
+    return x
+
+
+def test_scattered_vectors_of_a_large_label_are_dealt_by_pairs_of_blocks(spark):
+    x = scattered(2000)
+    points = spark.createDataFrame([(i, 1, "64:0", v.tolist(), len(x)) for i, v in enumerate(x)], "uid long, n long, g string, v array<double>, size long")
+    dealt = neardup._cells(points, {"64:0": len(x)}, 0.93, 128, 200, 1000, "g string, cell int, part int, block int, uid long, n long, v array<double>, home boolean, guest boolean")
+    assert dealt.count() <= 4 * len(x)
+
+
+def test_scattered_vectors_against_all_pairs(spark):
+    x = scattered(900).astype(np.float32)
+    got = neardup.link(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"), task_points=60, max_centres=50, sample=500).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, True)
+    least = np.arange(len(x))
+    for _ in range(50):
+        least = np.where(near, least, len(x)).min(1)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(near[i].sum()) - 1, int(least[i])) for i in range(len(x))]
+
+
 def test_equal_first_hashes_and_extra_columns(spark):
     rows = fixture(60)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "label as uid", "1 as n_links")

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from sedge.llm.common import cut, shared_dir
+from sedge.llm.common import batch, cut, shared_dir, small_batches
 
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, refers_to_id string, payload_digest string, "
           "content_length long, http_status int, http_length long, page_id long, refers_to long, payload binary")
 FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 MANIFEST = "_files.json"
+BATCH = 4 << 20  # bytes of rows that go to Spark at a time
 STRETCH = 8 << 20  # bytes of records that a stretch of an index stands for
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -250,6 +251,30 @@ class WarcReader(DataSourceReader):
                 yield tuple(row.get(c) for c in self.columns)
 
 
+class BatchReader(WarcReader):
+    """Gives Spark Arrow batches of some 4 MB, so that a worker and its executor hold few payloads, however many rows a batch may have."""
+
+    def read(self, partition: Part):
+        import pyarrow as pa
+
+        if not self.columns:
+            yield from super().read(partition)
+            return
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        told = dict(x.split() for x in SCHEMA.split(", "))
+        schema = pa.schema([(c, kinds[told[c]]) for c in self.columns])
+        at = self.columns.index("payload") if "payload" in self.columns else None
+        found, size = [], 0
+        for row in super().read(partition):
+            found.append(row)
+            size += 256 + (len(row[at] or b"") if at is not None else 0)
+            if size >= BATCH:
+                yield batch(schema, list(zip(*found, strict=True)))
+                found, size = [], 0
+        if found:
+            yield batch(schema, list(zip(*found, strict=True)))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list  # name, and of each stretch of its index the first and last byte, and the bytes of its records
@@ -328,7 +353,7 @@ class Warc(DataSource):
         unknown = {*schema.names} - {*FIELDS}
         if unknown:
             raise ValueError(f"no such columns in a WARC record: {sorted(unknown)}")
-        return WarcReader({k.lower(): v for k, v in self.options.items()}, schema.names)
+        return BatchReader({k.lower(): v for k, v in self.options.items()}, schema.names)
 
     def writer(self, schema, overwrite):
         return WarcWriter({k.lower(): v for k, v in self.options.items()})
@@ -376,6 +401,8 @@ def base32(hexed):
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write pages as WARC files under path. An empty table gives an archive without files."""
     register(pages.sparkSession)
+    small_batches(pages.sparkSession)
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     rows = deduplicated(pages, id_col, url_col, payload_col)
     rows.withColumn("payload_digest", base32(F.col("payload_digest"))).write.format("warc").mode("append").option("path", path).save()
 

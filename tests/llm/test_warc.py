@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sedge.llm import warc
 
@@ -123,3 +124,14 @@ def test_planning_does_nothing_for_each_record(spark, tmp_path, monkeypatch):
 def test_many_repeated_digests_are_joined_with_salts(spark):
     few, many = (sorted(map(str, warc.deduplicated(frame(spark, PAGES), most=n).drop("salt").collect())) for n in (1000, 0))
     assert few == many
+
+
+def test_payloads_are_read_and_written_in_small_batches(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i, f"http://h/{i}", f"{i} " * 100_000) for i in range(40)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    reader = warc.Warc({"path": str(tmp_path / "a")}).reader(StructType([StructField("page_id", LongType()), StructField("payload", BinaryType())]))
+    batches = [x for part in reader.partitions() for x in reader.read(part)]
+    assert max(x.nbytes for x in batches) < 6 << 20 and sum(x.num_rows for x in batches) == 40
+    assert sorted((i, bytes(p).decode()) for x in batches for i, p in zip(x["page_id"].to_pylist(), x["payload"].to_pylist())) == [(i, t) for i, _, t in rows]

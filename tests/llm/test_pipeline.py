@@ -3,6 +3,8 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sedge.llm import pii
 from sedge.llm.queries import oracle_sql, queries, tokenizer_path
 from tests.llm.helpers import docs, edge_rows
@@ -76,3 +78,13 @@ def test_empty_documents(spark, tmp_path):
 
 def test_all_ten_are_registered():
     assert {int(k[2:].split("_")[0]) for k in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+
+
+def test_near_duplicates_broadcast_no_searched_sets(spark, monkeypatch):
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append(df.columns) or broadcast(df))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = docs(spark, [(i, text + (" more" * (i % 2))) for i in range(6)] + [(9, "another text of some words in all")])
+    kept = corpus_pipeline.near_duplicates(spark, rows, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 9]
+    assert not [columns for columns in seen if "block" in columns]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge.llm import jaccard
+from sedge.llm.common import cut
 from sedge.llm.components import components, lookup
 from tests.llm.helpers import docs, edge_rows, words
 
@@ -141,6 +142,22 @@ def test_components_in_rounds_and_at_once(spark):
     assert at_once == rounds == {(n, r) for n, r in root.items() if any(root[a] == r and a != b for a, b in pairs)}
 
 
+def test_components_in_rounds_take_few_jobs(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(300)] + [(x, 5_000) for x in range(6_000, 6_300)] + [(5_000, 4_000)]  # a path, and a hub with a node below it
+    df, names = spark.createDataFrame(pairs, "a long, b long").repartition(16), []
+    monkeypatch.setitem(components.__globals__, "cut", lambda df, name: names.append(name) or cut(df, name))
+    spark.sparkContext.setJobGroup("rounds", "components in rounds")
+    try:
+        got = {tuple(r) for r in components(df, links=1).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(i, 0) for i in range(301)} | {(x, 4_000) for x in [4_000, 5_000, *range(6_000, 6_300)]}
+    rounds = names.count("components") - 1
+    assert 1 < rounds <= 20
+    assert jobs <= 9 * rounds + 9, (jobs, rounds)  # each costs the driver memory
+
+
 def test_broadcasts_dont_grow_with_the_rows(spark, monkeypatch):
     seen, broadcast = [], F.broadcast
     monkeypatch.setattr(F, "broadcast", lambda df: seen.append((df.columns, df.count())) or broadcast(df))

@@ -192,3 +192,16 @@ def test_extra_columns(spark):
 
 def test_empty_table(spark):
     assert jaccard.link(docs(spark, [])).count() == 0
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_go_with_the_step_that_made_them(spark, monkeypatch):
+    before, left = shuffle_files(spark), []
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: [cut(df, name), left.append(len(shuffle_files(spark) - before))][0])
+    rows = near_copies()
+    assert sorted(map(tuple, jaccard.link(docs(spark, rows), k=4, percent=85).collect()), key=str) == brute(rows)
+    assert len(left) > 6 and max(left) <= 30, left

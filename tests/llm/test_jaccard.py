@@ -205,3 +205,14 @@ def test_shuffles_go_with_the_step_that_made_them(spark, monkeypatch):
     rows = near_copies()
     assert sorted(map(tuple, jaccard.link(docs(spark, rows), k=4, percent=85).collect()), key=str) == brute(rows)
     assert len(left) > 6 and max(left) <= 30, left
+
+
+def test_keys_are_dealt_by_their_number(spark, monkeypatch):
+    frame, dealt = type(spark.range(1)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *by: dealt.append(by) or deal(df, *by))
+    monkeypatch.setattr(jaccard, "SHINGLES_A_TASK", 300)
+    rows = near_copies(5)
+    got = sorted(map(tuple, jaccard.link(docs(spark, rows), k=4, percent=85).collect()), key=str)
+    assert got == brute(rows)
+    assert [n for n, *key in dealt if key == ["key"]] == [sum(n for n, _ in {(n, t) for (_, t), (_, n, _) in zip(rows, brute(rows), strict=True)}) // 300]

@@ -1,5 +1,7 @@
 """Tables of the engine's own: definitions, changes, constraints, versions, transactions, rights, routines."""
 
+import pickle
+
 import pytest
 
 from sedge.operators import routines
@@ -174,3 +176,36 @@ def test_a_sequence_gives_each_row_a_value(engine):
     with pytest.raises(DialectError):
         engine.sql("SELECT NEXTVAL('s') + 1 FROM sv")
     assert engine.rows("SELECT NEXTVAL('s') AS k FROM sv WHERE a > 9") == []
+
+
+@pytest.mark.parametrize(("source", "language"), [
+    ("DECLARE s INT := 0; BEGIN FOR i IN x..y LOOP IF i % 3 = 1 THEN s := s + i * x; ELSIF i > 7 AND NOT s > 50 THEN s := s - 2; ELSE NULL; END IF; END LOOP; RETURN s; END", "PLSQL"),
+    ("DECLARE s INT; BEGIN FOR i IN 1..y LOOP s := s + i; IF i > x OR s > 1 THEN RETURN -i; END IF; END LOOP; END", "PLSQL"),
+    ("DECLARE n INT := y; BEGIN WHILE n > 1 LOOP n := n / 2; IF n < x THEN RETURN power(n, 2) + least(n, x); END IF; END LOOP; RETURN n; END", "PLSQL"),
+    ("local s = 0 for i = y, x, -2 do for j = 1, i do s = s + j ^ 2 end end if s == 0 then return nosuch(s) end return s", "LUA"),
+    ("local s = 'a' for i = 1, 2 do s = s + 'b' end return length(s) + z", "LUA"),
+    ("for i = 1, 3, x do s = i end return s / y", "LUA"),
+])
+def test_loops_as_python_give_what_the_interpreter_gives(source, language):
+    def got(call):
+        try:
+            return call()
+        except Exception as e:
+            return type(e), str(e)
+
+    steps = routines.program(source, language)
+    call = pickle.loads(pickle.dumps(routines.Program(steps, ["x", "y"])))
+    for x in (None, 0.0, 1.0, 3.0, -2.0, 7.5):
+        for y in (None, 0.0, 1.0, 9.0, 20.0):
+            assert got(lambda: call(x, y)) == got(lambda: routines.run(steps, {"x": x, "y": y})), (x, y)  # noqa: B023
+
+
+def test_loops_do_not_walk_trees_by_row(monkeypatch):
+    call = routines.Program(routines.program("DECLARE s INT := 0; BEGIN FOR i IN 1..n LOOP s := s + i; END LOOP; RETURN s; END", "PLSQL"), ["n"])
+    monkeypatch.setattr(routines, "_value", None)
+    assert call(100.0) == 5050.0
+    deep = ("num", 1.0)
+    for _ in range(150):
+        deep = ("op", "+", deep, ("var", "n"))
+    monkeypatch.undo()
+    assert routines.Program([("return", deep)], ["n"])(2.0) == 301.0

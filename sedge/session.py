@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import library, types
 from sedge.functions.scalars import Sql, text
-from sedge.operators import recursion, routines
+from sedge.operators import recursion, routines, spatial
 from sedge.plans.compiler import Compiler, From, Scope, children, kind_of, name
 from sedge.plans.lexer import DialectError
 from sedge.plans.nodes import Func, Lit, Query, Select, Source, Statement, TypeName
@@ -236,7 +236,7 @@ class Engine:
         own = dict(self.own)
         fixed = {"last_insert_rowid": lambda: self.last_insert_rowid, "changes": self.changes, "total_changes": self.total_changes, "current_version": self.current_version}
         own |= {n: (lambda a, f=f: Sql(f"{f()}L", "int", f())) for n, f in fixed.items()}
-        return Compiler(lambda n, v: self._relation(n, v, rights), lambda q: self.spark.sql(q).schema, params, self.semantics, own, lambda c, cte: recursion.evaluate(self, c, cte), self.sequences)
+        return Compiler(lambda n, v: self._relation(n, v, rights), lambda q: self.spark.sql(q).schema, params, self.semantics, own, lambda c, cte: recursion.evaluate(self, c, cte), self.sequences, spatial.tasks(self.spark))
 
     def _relation(self, n: str, version, right: str = "SELECT"):
         state, key = self.store.state, n.lower()

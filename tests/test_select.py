@@ -1,8 +1,11 @@
 """SELECT: expressions, joins, grouping, windows, sets, subqueries and CTEs on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from sedge.operators.spatial import distance_join
 from sedge.plans.lexer import DialectError
 from sedge.session import Engine
 
@@ -106,3 +109,33 @@ def test_plans_are_pushed_down_and_pruned(spark, tmp_path):
     plan = e.sql("SELECT SUM(id) FROM p WHERE k = 3")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan" in plan or "EqualTo(k,3)" in plan
     assert "pad" not in plan and "Python" not in plan
+
+
+def test_distance_joins_compute_middles_once_a_row(spark, engine):
+    rng = random.Random(4)
+    points = {n: [(i, rng.randrange(40) / 2, rng.randrange(40) / 2) for i in range(60)] for n in "abc"}
+    for n, rows in points.items():
+        engine.register(n, spark.createDataFrame(rows, "id int, x double, y double"))
+    near = lambda p, q, d: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= d * d
+    on = "ST_DWithin(ST_Point({0}.x, {0}.y), ST_Point({1}.x, {1}.y), {2})"
+    got = engine.sql(f"SELECT a.id, b.id, c.id FROM a JOIN b ON {on.format('a', 'b', 1.5)} AND a.id <> b.id LEFT JOIN c ON {on.format('c', 'b', 2)} AND c.id > 10")
+    want = []
+    for p in points["a"]:
+        for q in points["b"]:
+            if near(p, q, 1.5) and p[0] != q[0]:
+                want += [(p[0], q[0], r[0]) for r in points["c"] if near(q, r, 2) and r[0] > 10] or [(p[0], q[0], None)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in line or line.startswith("Join ")]
+    assert len(joins) == 2 and not any("rings" in line or "array_min" in line for line in joins), joins
+
+
+def test_distance_joins_split_crowded_cells(spark):
+    rng = random.Random(5)
+    a, b = ([(i, rng.choice([0.5, 0.75, float(rng.randrange(30))]), 0.25) for i in range(n)] for n in (300, 80))
+    left, right = spark.createDataFrame(a, "i int, x double, y double"), spark.createDataFrame(b, "j int, u double, v double")
+    want = sorted((p[0], q[0]) for p in a for q in b if abs(p[1] - q[1]) <= 2)
+    for rows, share in ((10_000, 1.0), (20, 0.4)):
+        got = distance_join(left, right, 2.0, ("x", "y"), ("u", "v"), rows)
+        assert got.columns == ["i", "x", "y", "j", "u", "v"] and sorted(map(tuple, got.select("i", "j").collect())) == want
+        held = [n for _, n in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(held) <= share * sum(held), held
